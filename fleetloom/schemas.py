@@ -1,0 +1,64 @@
+"""Schemas of the input tables. Counters are long; 'unknown' times are NULL."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+
+def _s(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
+
+
+STATUS_RAW = _s("ip string, port int, slot timestamp_ntz, variable_name string, value string")
+MACHINE_CPU = _s(
+    "ip string, slot timestamp_ntz, user double, nice double, system double, idle double, iowait double, irq double, softirq double, steal double"
+)
+MACHINE_DISK_IO = _s(
+    "ip string, device string, slot timestamp_ntz, read_count long, write_count long, read_bytes long, write_bytes long"
+)
+MACHINE_NET_IO = _s(
+    "ip string, device string, slot timestamp_ntz, bytes_sent long, bytes_recv long, packets_sent long, packets_recv long, "
+    "errin long, errout long, dropin long, dropout long"
+)
+DISK_USAGE = _s(
+    "ip string, slot timestamp_ntz, device string, mountpoint string, total long, used long, free long, percent double"
+)
+REPLICA_STATUS = _s(
+    "ip string, port int, slot timestamp_ntz, master_host string, master_port int, master_log_file string, "
+    "read_master_log_pos long, relay_master_log_file string, exec_master_log_pos long, slave_io_running string, "
+    "slave_sql_running string, seconds_behind_master string, executed_gtid_set string"
+)
+TABLE_INFO = _s(
+    "ip string, port int, date date, table_schema string, table_name string, table_type string, engine string, row_format string, "
+    "table_rows long, data_length long, index_length long, data_free long, auto_increment long"
+)
+CONF_COMMON = _s("key string, value string, memo string, state string")
+CONF_PERSON = _s("key string, value string, type string, server_host string, server_port int, state string")
+SCRIPT_COMMON = _s("basename string, frequency string, time_interval string, running_state string, state string")
+SCRIPT_PERSON = _s("server_host string, basename string, frequency string, running_state string, state string")
+INSTANCES = _s("type string, server_host string, server_port int, role string, master_status int, state string")
+REPLICA_EDGES = _s("child string, parent string, lag int")
+BACKUP_INFO = _s(
+    "type string, address string, source_host string, source_port int, mode string, mode_state string, weekday int, "
+    "start_sec int, end_sec int, clear_rule array<int>, state string"
+)
+BACKUP_RESULT = _s(
+    "type string, mode string, task_id string, date date, source_host string, source_port int, path string, size int, "
+    "metadata string, start_time timestamp_ntz, end_time timestamp_ntz, backup_status string, clear_status string, "
+    "remote_backup_status string, check_status string"
+)
+ARCHIVE_RESULT = _s(
+    "task_id string, date date, ip string, port int, table string, count long, exec_status string, sql string, "
+    "create_time timestamp_ntz, modify_time timestamp"
+)
+PARTITIONS = _s(
+    "table_schema string, table_name string, partition_name string, partition_method string, partition_expression string, "
+    "partition_description string, table_rows long, data_length long, index_length long"
+)
+SESSIONS = _s("instance string, id long, user string, host string, state string, info string")
+
+# Fields of the position a backup was taken at, stored as text in the ledger.
+POSITION = (
+    "master_host string, master_port string, master_log_file string, master_log_pos string, master_gtid string, "
+    "start_time string, end_time string"
+)
