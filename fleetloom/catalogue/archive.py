@@ -65,10 +65,19 @@ SELECT CASE WHEN l_shipdate < {CUT} THEN 'archived' ELSE 'kept' END AS side, cou
 """)
 def archive_split(spark, d):
     s = archive.archive_split(table(spark, d, "lineitem"), "l_shipdate", TODAY, 30)
-    measure = lambda df, side: df.agg(
+    return s.sided.groupBy("side").agg(
         F.count("*").alias("row_count"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("string").alias("total")
-    ).withColumn("side", F.lit(side))
-    return measure(s.archived, "archived").unionByName(measure(s.kept, "kept"))
+    )
+
+
+@query("archive_sides", f"""
+SELECT 'archived' AS side, l_orderkey, l_linenumber, l_shipdate < {CUT} AS old FROM lineitem WHERE l_shipdate < {CUT}
+UNION ALL SELECT 'kept', l_orderkey, l_linenumber, false FROM lineitem WHERE l_shipdate >= {CUT} OR l_shipdate IS NULL
+""")
+def archive_sides(spark, d):
+    s = archive.archive_split(table(spark, d, "lineitem"), "l_shipdate", TODAY, 30)
+    rows = lambda df, side, old: df.select(F.lit(side).alias("side"), "l_orderkey", F.col("l_linenumber"), F.lit(old).alias("old"))
+    return rows(s.archived, "archived", True).unionByName(rows(s.kept, "kept", False))
 
 
 @query("archive_run", f"""

@@ -199,16 +199,19 @@ def unpivot(spark, d):
 
 
 SLOTS = """
-o AS (SELECT DISTINCT event_type, epoch_us(date_trunc('hour', ts)) // 1000000 AS slot FROM events),
-b AS (SELECT event_type, min(slot) AS lo, max(slot) AS hi FROM o GROUP BY 1),
-g AS (SELECT event_type, unnest(range(lo, hi + 1, 3600)) AS slot FROM b)
+o AS (SELECT DISTINCT user_id, epoch_us(date_trunc('hour', ts)) // 1000000 AS slot FROM events),
+b AS (SELECT user_id, min(slot) AS lo, max(slot) AS hi FROM o GROUP BY 1),
+g AS (SELECT user_id, unnest(range(lo, hi + 1, 3600)) AS slot FROM b)
 """
 
 
-@query("gap_markers", f"WITH {SLOTS} SELECT event_type, slot AS slot_epoch FROM g WHERE NOT EXISTS "
-       "(SELECT 1 FROM o WHERE o.event_type = g.event_type AND o.slot = g.slot)")
+def user_hours(spark, d):
+    return table(spark, d, "events").withColumn("slot", F.date_trunc("hour", "ts").cast("timestamp"))
+
+
+@query("gap_markers", f"WITH {SLOTS} SELECT g.user_id, g.slot AS slot_epoch FROM g ANTI JOIN o ON o.user_id = g.user_id AND o.slot = g.slot")
 def gap_markers(spark, d):
-    return gaps.gap_markers(hourly(spark, d), ["event_type"], "slot", 3600)
+    return gaps.gap_markers(user_hours(spark, d), ["user_id"], "slot", 3600)
 
 
 @query("gap_markers_bounded", """
@@ -223,12 +226,12 @@ def gap_markers_bounded(spark, d):
 
 @query("gap_islands", f"""
 WITH {SLOTS},
-m AS (SELECT event_type, slot, slot - 3600 * row_number() OVER (PARTITION BY event_type ORDER BY slot) AS island FROM g
-      WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.event_type = g.event_type AND o.slot = g.slot))
-SELECT event_type, min(slot) AS gap_start, max(slot) AS gap_end, count(*) AS missing FROM m GROUP BY event_type, island
+m AS (SELECT g.user_id, g.slot, g.slot - 3600 * row_number() OVER (PARTITION BY g.user_id ORDER BY g.slot) AS island
+      FROM g ANTI JOIN o ON o.user_id = g.user_id AND o.slot = g.slot)
+SELECT user_id, min(slot) AS gap_start, max(slot) AS gap_end, count(*) AS missing FROM m GROUP BY user_id, island
 """)
 def gap_islands(spark, d):
-    return gaps.gap_islands(hourly(spark, d), ["event_type"], "slot", 3600)
+    return gaps.gap_islands(user_hours(spark, d), ["user_id"], "slot", 3600)
 
 
 @query("gap_alarm", """
@@ -238,8 +241,7 @@ SELECT user_id, slot + 3600 AS gap_start, nxt - 3600 AS gap_end, (nxt - slot) //
 FROM n WHERE nxt - slot >= 3600 * 25
 """)
 def gap_alarm(spark, d):
-    ev = table(spark, d, "events").withColumn("slot", F.date_trunc("hour", "ts").cast("timestamp"))
-    return gaps.gap_islands(ev, ["user_id"], "slot", 3600, min_slots=24)
+    return gaps.gap_islands(user_hours(spark, d), ["user_id"], "slot", 3600, min_slots=24)
 
 
 @query("fill_gaps", f"""

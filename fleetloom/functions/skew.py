@@ -16,8 +16,8 @@ SALTS = 64
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. Reads no columns; stops counting past the bound."""
-    return df.select(F.lit(1).alias("one")).limit(max_rows + 1).count() <= max_rows
+    """True if ``df`` has at most ``max_rows`` rows. The count reads no columns and is added up map-side."""
+    return df.count() <= max_rows
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
@@ -34,6 +34,7 @@ def lookup_join(
     how: str = "left",
     *,
     spread: Sequence[str],
+    derived: bool = False,
     max_broadcast_rows: int = BROADCAST_ROWS,
     hot_share: int = HOT_SHARE,
     hot_min_rows: int = HOT_ROWS,
@@ -44,8 +45,11 @@ def lookup_join(
     ``dim`` is counted first. Up to ``max_broadcast_rows`` it is broadcast and ``facts`` is not shuffled.
     Beyond that both sides are shuffled, and the rows of hot keys are spread over ``salts`` groups by a hash of
     ``spread`` (columns that identify a fact row) while the few hot ``dim`` rows are repeated for each group.
+    A ``derived`` dim, the result of a larger computation, is pinned first so that counting it does not run it twice.
     """
     on = list(on)
+    if derived:
+        dim = pin(dim)
     if is_small(dim, max_broadcast_rows):
         return facts.join(F.broadcast(dim), on, how)
     hot = hot_keys(facts, on, hot_share, hot_min_rows).withColumn("_hot", F.lit(True))

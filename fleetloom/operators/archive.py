@@ -59,6 +59,9 @@ def key_profile(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
 
 @dataclass
 class ArchiveSplit:
+    """``sided`` is the whole table with a ``side`` column; ``archived`` and ``kept`` are its two halves."""
+
+    sided: DataFrame
     archived: DataFrame
     kept: DataFrame
     chunks: DataFrame | None
@@ -70,16 +73,17 @@ def archive_split(
 ) -> ArchiveSplit:
     """Rows older than the threshold, the rest of the table, and one audit row per chunk of old rows.
 
-    Rows without a time stay in the table, so the two sides always add up to it. The sides are two filters on the
-    same scan: nothing is shuffled but the keys of the old rows, and those only when ``keys`` asks for the audit.
+    Rows without a time stay in the table, so the two sides always add up to it. Nothing is shuffled but the keys of
+    the old rows, and those only when ``keys`` asks for the audit. To handle both sides in one scan use ``sided``.
     """
     limit = age_limit(df, time_col, today, days)
     old = older_than(df, time_col, today, days)
     kept = df.filter((F.col(time_col) >= limit) | F.col(time_col).isNull())
+    sided = df.withColumn("side", F.when(F.col(time_col) < limit, "archived").otherwise("kept"))
     chunks = None
     if keys:
         chunks = keyset_chunks(old, keys, chunk_rows).withColumns({"task_id": F.lit(task_id), "exec_status": F.lit("Succ")})
-    return ArchiveSplit(old, kept, chunks)
+    return ArchiveSplit(sided, old, kept, chunks)
 
 
 def retirable_parts(parts: DataFrame, bound: str, threshold: dt.date) -> DataFrame:

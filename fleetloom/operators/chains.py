@@ -21,10 +21,16 @@ def walk_chain(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int
     ``top`` (no edge above), ``lag`` (an edge that may not be followed) or ``cycle``. Each round every node takes over
     the walk of the node it has reached, so depth d needs log2(d) rounds; a path that repeats a node is a cycle.
     """
-    good = healthy_edges(edges, child, parent, lag, max_lag)
-    nodes = edges.select(F.col(child).alias("node")).union(edges.select(F.col(parent).alias("node"))).distinct()
-    lagging = edges.select(F.col(child).alias("node")).distinct().withColumn("_edge", F.lit(True))
-    start = nodes.join(good, "node", "left").join(lagging, "node", "left").select(
+    follow = F.when(F.col(lag).try_cast("long") < max_lag, F.col(parent))
+    ends = F.array(
+        F.struct(F.col(child).alias("node"), follow.alias("up"), F.lit(1).alias("edge")),
+        F.struct(F.col(parent).alias("node"), F.lit(None).alias("up"), F.lit(0).alias("edge")),
+    )
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy(F.col("e.node").alias("node")).agg(
+        F.max("e.up").alias("up"), F.sum("e.edge").alias("_n")
+    )
+    two = F.raise_error(F.concat(F.lit("more than one source for "), F.col("node").cast("string"))).cast("boolean")
+    start = nodes.withColumn("_edge", F.when(F.col("_n") > 1, two).otherwise(F.col("_n") == 1)).select(
         "node", F.coalesce("up", "node").alias("at"),
         F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("up").cast("string"))).alias("path"),
         F.when(F.col("up").isNotNull(), F.lit(None).cast("string"))

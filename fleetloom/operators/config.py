@@ -11,6 +11,7 @@ from fleetloom.functions.skew import lookup_join
 from fleetloom.operators.tables import breach
 
 DEFAULT_PORT = 65536
+SCRIPT_BLOCKS = 64
 
 
 def tier_values(tier: DataFrame, keys: Sequence[str], value: str, state: str | None, out: str) -> DataFrame:
@@ -64,11 +65,14 @@ def resolve_script_state(
 ) -> DataFrame:
     """Every script of a frequency on every host, with the host's own state before the common one.
 
-    The script list is a handful of rows per host; it is attached to the hosts as an array, not by a cross join.
+    The scripts are dealt into blocks and every host asks each block for its scripts, so the pairing is an equi join
+    that Spark broadcasts while the script list is short and shuffles by block when it is not.
     """
-    scripts = common.filter((F.col("state") == "online") & (F.col("frequency") == frequency))
-    listed = scripts.agg(F.collect_list(F.struct("basename", "running_state")).alias("scripts")).scalar()
-    all_runs = hosts.select(host).withColumn("_s", F.explode(listed)).select(host, "_s.*")
+    scripts = common.filter((F.col("state") == "online") & (F.col("frequency") == frequency)).select(
+        F.pmod(F.xxhash64("basename"), F.lit(SCRIPT_BLOCKS)).cast("int").alias("_block"), "basename", "running_state"
+    )
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(SCRIPT_BLOCKS - 1)))
+    all_runs = hosts.select(host).withColumn("_block", blocks).join(scripts, "_block").drop("_block")
     own = (
         person.filter((F.col("state") == "online") & (F.col("frequency") == frequency))
         .groupBy(host, "basename").agg(F.nullif(F.max("running_state"), F.lit("")).alias("_own"))
@@ -89,10 +93,10 @@ def config_map(resolved: DataFrame, keys: Sequence[str], key: str = "key", value
 
 def threshold_join(
     samples: DataFrame, thresholds: DataFrame, on: Sequence[str], metric: str, threshold: str,
-    *, alarm_id: str, spread: Sequence[str], begin: Column, end: Column, inclusive: bool = False,
+    *, alarm_id: str, spread: Sequence[str], begin: Column, end: Column, inclusive: bool = False, derived: bool = False,
 ) -> DataFrame:
     """Alarm rows: samples above the threshold of their key, with id, text and time range."""
-    joined = lookup_join(samples, thresholds, on, "inner", spread=spread)
+    joined = lookup_join(samples, thresholds, on, "inner", spread=spread, derived=derived)
     hit = joined.filter(breach(F.col(metric), F.col(threshold), inclusive))
     text = F.concat(
         F.lit("["), F.concat_ws(":", *on), F.lit("] "), F.lit(metric + " "), F.col(metric).cast("long").cast("string"),

@@ -57,13 +57,13 @@ def peers_of(instances: DataFrame, masters: DataFrame, cluster: str, keys: Seque
     """Instances in the role that share a cluster with one of the given masters."""
     clusters = instances.join(masters.select(*keys).distinct(), list(keys), "left_semi").select(cluster).distinct()
     peers = instances.filter(F.col(role) == peer_role)
-    return lookup_join(peers, clusters, [cluster], "left_semi", spread=keys)
+    return lookup_join(peers, clusters, [cluster], "left_semi", spread=keys, derived=True)
 
 
 def mark_absent(rows: DataFrame, active: DataFrame, cluster: str, state: str, spread: Sequence[str]) -> DataFrame:
     """Rows with the state set to offline where the cluster is not in the active list; an empty list means all."""
     listed = active.select(cluster).distinct().withColumn("_active", F.lit(True))
-    out = lookup_join(rows, listed, [cluster], "left", spread=spread)
+    out = lookup_join(rows, listed, [cluster], "left", spread=spread, derived=True)
     return out.withColumn(state, F.when(F.col("_active"), F.col(state)).otherwise("offline")).drop("_active")
 
 
@@ -81,4 +81,4 @@ def protect_candidates(
         (F.col("waiting") > 0)
         & ((F.col("waiting") >= max_waiting) | ((F.col(role) == "slave") & (F.col(lag) >= max_lag)))
     ).select(instance, role, lag, "waiting")
-    return lookup_join(sessions.filter(user), trouble, [instance], "inner", spread=[instance, session_id])
+    return lookup_join(sessions.filter(user), trouble, [instance], "inner", spread=[instance, session_id], derived=True)

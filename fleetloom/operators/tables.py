@@ -171,8 +171,7 @@ def project_catalogue(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 def keys_filter(df: DataFrame, column: str, wanted: Sequence | DataFrame, spread: Sequence[str] = ()) -> DataFrame:
     """Rows whose ``column`` is in a short list or in a one-column table of keys."""
     if isinstance(wanted, DataFrame):
-        keys = wanted.toDF(column).distinct()
-        return lookup_join(df, keys, [column], "left_semi", spread=spread or df.columns)
+        return lookup_join(df, wanted.toDF(column), [column], "left_semi", spread=spread or df.columns)
     return df.filter(F.col(column).isin(list(wanted)))
 
 

@@ -23,7 +23,8 @@ def rate_alarms(
     limits = limits.select(*keys, F.col("value").try_cast("double").alias("threshold"))
     begin = F.col(slot) - F.expr(f"INTERVAL {int(step_seconds)} SECONDS")
     return threshold_join(
-        rates, limits, keys, f"{counter}_rate", "threshold", alarm_id=alarm_id, spread=[*keys, slot], begin=begin, end=F.col(slot)
+        rates, limits, keys, f"{counter}_rate", "threshold", alarm_id=alarm_id, spread=[*keys, slot], begin=begin, end=F.col(slot),
+        derived=True,
     )
 
 

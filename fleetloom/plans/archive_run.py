@@ -15,15 +15,15 @@ from fleetloom.operators.retention import status_rollup
 def run_archive(
     df: DataFrame, time_col: str, today: dt.date, days: int, keys: Sequence[str], chunk_rows: int, out: str, task_id: str,
 ) -> DataFrame:
-    """Write ``out``/archived, ``out``/kept and ``out``/audit; returns the task row.
+    """Write both sides below ``out``/rows in one scan and the audit to ``out``/audit; returns the task row.
 
-    Both sides are new folders beside the source: swap them in once the task says Succ.
+    The sides are the new folders ``side=archived`` and ``side=kept``: swap them in once the task says Succ.
     """
     split = archive_split(df, time_col, today, days, keys, chunk_rows, task_id)
-    split.archived.write.mode("overwrite").parquet(f"{out}/archived")
-    split.kept.write.mode("overwrite").parquet(f"{out}/kept")
+    split.sided.write.mode("overwrite").partitionBy("side").parquet(f"{out}/rows")
     split.chunks.write.mode("overwrite").parquet(f"{out}/audit")
     audit = df.sparkSession.read.parquet(f"{out}/audit")
     task = status_rollup(audit, ["task_id"], "exec_status", "chunk_rows")
-    moved = df.sparkSession.read.parquet(f"{out}/archived").agg(F.count("*").alias("n")).scalar()
+    written = df.sparkSession.read.parquet(f"{out}/rows")
+    moved = written.filter(F.col("side") == "archived").agg(F.count("*").alias("n")).scalar()
     return task.withColumn("exec_status", F.when(F.col("row_count") == moved, F.col("exec_status")).otherwise("Fail"))

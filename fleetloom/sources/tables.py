@@ -56,12 +56,11 @@ def ensure_table(df: DataFrame, table: str, path: str | None = None, partition_b
 def route_by_date(df: DataFrame, table: str, ts: str, path: str, by: str = "day") -> DataFrame:
     """Write each row below the schema and table of its date; returns the written data for reading.
 
-    Rows are gathered by target first, with a hash part so that one busy day is written by several tasks; adaptive
-    execution sizes the tasks, and each task then writes few files.
+    Rows are gathered by target first, so a task writes few files. The gathering is a rebalance: adaptive execution
+    cuts a busy day into several tasks and merges the quiet ones.
     """
     routed = df.withColumns(shards.shard_columns(table, F.col(ts), by))
-    part = F.pmod(F.xxhash64(*df.columns), F.lit(8))
-    routed.repartition("shard_schema", "shard_table", part).write.mode("overwrite").partitionBy(
+    routed.hint("rebalance", F.col("shard_schema"), F.col("shard_table")).write.mode("overwrite").partitionBy(
         "shard_schema", "shard_table"
     ).parquet(path)
     return df.sparkSession.read.parquet(path)
@@ -70,10 +69,11 @@ def route_by_date(df: DataFrame, table: str, ts: str, path: str, by: str = "day"
 def export_chunked(df: DataFrame, schema: str, path: str, max_rows: int, only: Sequence[str] | None = None) -> DataFrame:
     """Write the selected schemas, a folder each, in files of at most ``max_rows`` rows; returns the manifest.
 
-    The manifest (schema, file, rows) is counted from the written files.
+    The manifest (schema, file, rows) is counted from the written files. Rows are rebalanced by schema first: few
+    files per task, and a schema that holds most rows is written by many tasks.
     """
     rows = df.filter(F.col(schema).isin(list(only))) if only else df
-    rows.write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy(schema).parquet(path)
+    rows.hint("rebalance", F.col(schema)).write.mode("overwrite").option("maxRecordsPerFile", max_rows).partitionBy(schema).parquet(path)
     written = df.sparkSession.read.parquet(path).select(schema, F.col("_metadata.file_path").alias("file"))
     return written.groupBy(schema, "file").agg(F.count("*").alias("file_rows"))
 
