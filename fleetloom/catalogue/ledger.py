@@ -37,7 +37,7 @@ FROM ranked
 def tiered_retention(spark, d):
     out = retention.tiered_retention(
         table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus"), ["o_custkey"], "o_orderdate",
-        "o_orderkey", TODAY, F.lit(RULE), F.col("o_orderstatus") == "F",
+        "o_orderkey", TODAY, RULE, F.col("o_orderstatus") == "F",
     )
     return out.select(
         "o_custkey", "o_orderkey", F.col("age_days").cast("long"), F.col("band").cast("long"), "kept", "reason"

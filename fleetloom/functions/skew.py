@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,7 +55,9 @@ def lookup_join(
     if is_small(dim, max_broadcast_rows):
         return facts.join(F.broadcast(dim), on, how)
     hot = hot_keys(facts, on, hot_share, hot_min_rows).withColumn("_hot", F.lit(True))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    # Rows without a key match nothing and would otherwise gather in one task.
+    no_key = reduce(or_, [F.col(k).isNull() for k in on])
+    salt = F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     # `hot` has at most `hot_share` rows by construction, so broadcasting it is bounded.
     left = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
@@ -77,9 +81,10 @@ def previous_sample(
     keys = list(keys)
     sample = F.struct(F.col(ts), *[F.col(c) for c in carry])
     sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds))
-    last = sliced.groupBy(*keys, "_slice").agg(F.max_by(sample, F.col(ts)).alias("_last"))
+    # Column by column, so that numbers and times are aggregated by hash.
+    last = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in carry])
     handed = last.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_slice"))
+        "_carry", F.lag(sample).over(Window.partitionBy(*keys).orderBy("_slice"))
     ).filter(F.col("_carry").isNotNull())
     halo = handed.select(
         *keys, "_slice", F.col("_carry")[ts].alias(ts), *[F.col("_carry")[c].alias(c) for c in carry],
@@ -95,7 +100,8 @@ def ordinal_in_key(
 ) -> DataFrame:
     """Add ``name``: 1-based position of each row within its key, by ``ts`` then ``ties``.
 
-    Rows are ranked inside (key, time slice); a running total of the slice counts gives each slice its start.
+    Rows are ranked inside (key, time slice). A running total of the slice counts gives each slice its start, which
+    joins the slice as a marker row in front of its rows.
     """
     keys = list(keys)
     sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds))
@@ -104,14 +110,11 @@ def ordinal_in_key(
         sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
-    ranked = sliced.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys, "_slice").orderBy(ts, *ties))
-    )
-    return (
-        ranked.join(starts, [*keys, "_slice"])
-        .withColumn(name, (F.col("_start") + F.col("_rank")).cast("long"))
-        .drop("_slice", "_start", "_rank")
-    )
+    both = sliced.unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy(F.col("_start").isNull(), ts, *ties)
+    # The marker is row 1, so the first real row is row 2.
+    place = F.first("_start", ignorenulls=True).over(w) + F.row_number().over(w) - 1
+    return both.withColumn(name, place.cast("long")).filter(F.col("_start").isNull()).drop("_slice", "_start")
 
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, spread: Sequence[str]) -> DataFrame:

@@ -76,13 +76,13 @@ def converge_exact(alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds
 
     A decision depends on the one before, yet a busy key is still cut into time slices: each slice is summarised as
     'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and every slice is
-    then decided on its own from the state it is entered with.
+    then decided on its own from the state it is entered with. An alarm without a time is never sent.
     """
     keys = list(keys)
     hold, length = hold_seconds * 1_000_000, max(slice_seconds, hold_seconds) * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # Alarms at the same moment decide the same way.
-    moments = alarms.select(*keys, us.alias("_us")).distinct().withColumn("_slice", F.floor(F.col("_us") / length).cast("long"))
+    moments = alarms.select(*keys, us.alias("_us")).filter(F.col("_us").isNotNull()).distinct().withColumn("_slice", F.floor(F.col("_us") / length).cast("long"))
     lists = moments.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list("_us")).alias("_times"))
     key_fields = [alarms.schema[k] for k in keys]
     number = T.StructField("_slice", T.LongType())
@@ -108,5 +108,8 @@ def converge_exact(alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds
     )
     per_key = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slice", "_starts", "_ends"))).alias("_slices"))
     entries = per_key.mapInPandas(walk, T.StructType([*key_fields, number, T.StructField("_allowed", T.LongType())]))
-    decided = lists.join(entries, [*keys, "_slice"])
+    # The state a slice is entered with joins its moments as one more row.
+    decided = moments.unionByName(entries, allowMissingColumns=True).groupBy(*keys, "_slice").agg(
+        F.array_sort(F.collect_list("_us")).alias("_times"), F.max("_allowed").alias("_allowed")
+    )
     return decided.mapInPandas(decide, T.StructType([*key_fields, T.StructField("sent_us", T.LongType())]))

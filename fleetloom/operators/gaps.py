@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetloom.functions.skew import previous_sample
@@ -66,14 +66,13 @@ def fill_gaps(samples: DataFrame, keys: Sequence[str], slot: str, values: Sequen
     known = samples
     for v in values:
         known = known.filter(F.col(v).isNotNull())
-    near = previous_sample(known.select(*keys, slot, *values), keys, slot, values).filter(F.col("prev").isNotNull())
-    gaps = _slots(
-        near.select(*keys, *[F.col("prev")[v].alias(v) for v in values],
-                    (_epoch(F.col("prev")[slot]) + step_seconds).alias("_from"), (_epoch(F.col(slot)) - step_seconds).alias("_to")),
-        F.col("_from"), F.col("_to"), step_seconds, "slot_epoch",
-    ).select(*keys, "slot_epoch", *values, F.lit(True).alias("filled"))
-    own = known.select(*keys, _epoch(F.col(slot)).alias("slot_epoch"), *values, F.lit(False).alias("filled"))
-    return own.unionByName(gaps)
+    near = previous_sample(known.select(*keys, slot, *values), keys, slot, values)
+    own = near.withColumn("_own", _epoch(F.col(slot)))
+    # Each sample stands for itself and for the missing slots before it.
+    first = F.coalesce(_epoch(F.col("prev")[slot]) + step_seconds, F.col("_own"))
+    series = _slots(own, F.least(first, F.col("_own")), F.col("_own"), step_seconds, "slot_epoch")
+    real = F.col("slot_epoch") == F.col("_own")
+    return series.select(*keys, "slot_epoch", *[F.when(real, F.col(v)).otherwise(F.col("prev")[v]).alias(v) for v in values], (~real).alias("filled"))
 
 
 def overdue(events: DataFrame, keys: Sequence[str], ts: str, now: Column, every_seconds: Column | int) -> DataFrame:
@@ -88,8 +87,6 @@ def capacity_trend(snapshots: DataFrame, keys: Sequence[str], day: str, measures
 
     Rows of one key and day are summed first, so a key's window has at most ``days`` rows.
     """
-    from pyspark.sql import Window
-
     inside = snapshots.filter((F.col(day) <= last_day) & (F.col(day) > F.date_sub(last_day, days)))
     daily = inside.groupBy(*keys, day).agg(*[F.sum(m).alias(m) for m in measures])
     w = Window.partitionBy(*keys).orderBy(day)

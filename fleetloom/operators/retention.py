@@ -14,8 +14,17 @@ from fleetloom.functions import scalars as S
 LAST_BAND_DAYS = 36600
 
 
-def age_band(age: Column, rule: Column) -> Column:
-    """Number of the band with ``first < age <= last``, NULL when none: today (age 0) is in no band."""
+def age_band(age: Column, rule: Column | str | None) -> Column:
+    """Number of the band with ``first < age <= last``, NULL when none: today (age 0) is in no band.
+
+    A rule given as text becomes a plain CASE; a rule column, one per row, needs an array expression.
+    """
+    if rule is None:
+        return F.lit(None).cast("int")
+    if isinstance(rule, str):
+        edges = [*map(int, rule.split("-")), LAST_BAND_DAYS]
+        found = [F.when((age > a) & (age <= b), F.lit(i + 1)) for i, (a, b) in enumerate(zip(edges, edges[1:]))]
+        return F.coalesce(*found)
     bounds = F.concat(S.rule_array(rule), F.array(F.lit(LAST_BAND_DAYS)))
     pairs = F.transform(
         F.sequence(F.lit(1), F.size(bounds) - 1),
@@ -25,7 +34,7 @@ def age_band(age: Column, rule: Column) -> Column:
 
 
 def tiered_retention(
-    ledger: DataFrame, groups: Sequence[str], day: str, row_id: str, today: dt.date, rule: Column,
+    ledger: DataFrame, groups: Sequence[str], day: str, row_id: str, today: dt.date, rule: Column | str | None,
     population: Column | None = None,
 ) -> DataFrame:
     """Ledger rows in the population with ``age_days``, ``band``, ``kept`` and ``reason``.
@@ -54,7 +63,7 @@ def tiered_retention(
 
 
 def clear_list(
-    ledger: DataFrame, groups: Sequence[str], day: str, row_id: str, today: dt.date, rule: Column,
+    ledger: DataFrame, groups: Sequence[str], day: str, row_id: str, today: dt.date, rule: Column | str | None,
     *, disk_used: float | None = None, disk_limit: float = 80.0, status: str = "backup_status", cleared: str = "clear_status",
     remote: str = "remote_backup_status",
 ) -> DataFrame:
