@@ -29,14 +29,15 @@ def walk_chain(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int
     nodes = edges.select(F.explode(ends).alias("e")).groupBy(F.col("e.node").alias("node")).agg(
         F.max("e.up").alias("up"), F.sum("e.edge").alias("_n")
     )
-    two = F.raise_error(F.concat(F.lit("more than one source for "), F.col("node").cast("string"))).cast("boolean")
-    start = nodes.withColumn("_edge", F.when(F.col("_n") > 1, two).otherwise(F.col("_n") == 1)).select(
-        "node", F.coalesce("up", "node").alias("at"),
+    two = F.raise_error(F.concat(F.lit("more than one source for "), F.col("node").cast("string")))
+    start = nodes.select(
+        "node", F.when(F.col("_n") > 1, two.cast(edges.schema[child].dataType)).otherwise(F.coalesce("up", "node")).alias("at"),
         F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("up").cast("string"))).alias("path"),
         F.when(F.col("up").isNotNull(), F.lit(None).cast("string"))
-        .when(F.col("_edge"), "lag").otherwise("top").alias("ended"),
+        .when(F.col("_n") == 1, "lag").otherwise("top").alias("ended"),
     )
     table = pin(start)
+    parts = table.rdd.getNumPartitions()
     while True:
         active = table.filter(F.col("ended").isNull())
         if active.isEmpty():
@@ -52,7 +53,8 @@ def walk_chain(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int
             "node", F.col("_at").alias("at"), path.alias("path"),
             F.when(F.size(F.array_distinct(walked)) < F.size(walked), "cycle").otherwise(F.col("_ended")).alias("ended"),
         )
-        table = pin(table.filter(F.col("ended").isNotNull()).unionByName(moved))
+        # The rows are as many as before, so their partitions need not grow with the rounds.
+        table = pin(table.filter(F.col("ended").isNotNull()).unionByName(moved).coalesce(parts))
     cyclic = F.col("ended") == "cycle"
     return table.select(
         "node", F.when(~cyclic, F.col("at")).alias("root"), F.when(~cyclic, F.size("path").cast("long")).alias("depth"),
