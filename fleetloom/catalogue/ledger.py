@@ -310,3 +310,12 @@ def ensure_table(spark, d):
     return spark.table(name).select(
         F.col("n_nationkey").cast("long"), "n_name", F.lit(created).alias("created"), F.lit(again).alias("created_again")
     )
+
+
+@query("export_dump", "SELECT l_returnflag, count(*) AS row_count, true AS within_limit FROM lineitem GROUP BY 1")
+def export_dump(spark, d):
+    """The largest table in files of at most a million rows."""
+    manifest = sinks.export_chunked(table(spark, d, "lineitem"), "l_returnflag", work_folder(spark, "dump"), 1_000_000)
+    return manifest.groupBy("l_returnflag").agg(
+        F.sum("file_rows").alias("row_count"), (F.max("file_rows") <= 1_000_000).alias("within_limit")
+    )

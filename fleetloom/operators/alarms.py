@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -10,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetloom.functions.skew import ordinal_in_key
+from fleetloom.functions.skew import hot_keys, ordinal_in_key
+
+# A time before all others: nothing holds back the first alarm.
+NEVER = int(np.iinfo(np.int64).min)
 
 
 def converge_time(alarms: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], slot_seconds: int) -> DataFrame:
@@ -28,19 +33,14 @@ def converge_count(alarms: DataFrame, keys: Sequence[str], ts: str, ties: Sequen
     return numbered.filter((F.col("ordinal") - 1) % every == 0)
 
 
-def _next_index(times: np.ndarray, hold: int) -> np.ndarray:
-    """For each alarm the index of the first one at least ``hold`` later."""
-    return np.searchsorted(times, times + hold, side="left")
-
-
-def sent_times(times: np.ndarray, hold: int, allowed: int) -> list[int]:
+def sent_times(times: np.ndarray, hold: int, allowed: int) -> np.ndarray:
     """Alarms sent when nothing may be sent before ``allowed`` and then once per ``hold``. ``times`` is sorted."""
-    nxt, out = _next_index(times, hold), []
-    i = int(np.searchsorted(times, allowed, side="left"))
-    while i < len(times):
-        out.append(int(times[i]))
-        i = int(nxt[i])
-    return out
+    following = np.searchsorted(times, times + hold).tolist()
+    picked, i = [], int(np.searchsorted(times, allowed))
+    while i < len(following):
+        picked.append(i)
+        i = following[i]
+    return times[picked]
 
 
 def slice_exits(times: np.ndarray, begin: int, hold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,43 +49,54 @@ def slice_exits(times: np.ndarray, begin: int, hold: int) -> tuple[np.ndarray, n
     Only the first ``hold`` of a slice can be blocked from before, so only its alarms, and one more for a slice that
     opens quietly, are possible starts. Starts with the same end are merged: the latest start that leads there.
     """
-    nxt = _next_index(times, hold)
-    end = np.arange(len(times))
-    for i in range(len(times) - 1, -1, -1):
-        if nxt[i] < len(times):
-            end[i] = end[nxt[i]]
-    starts = min(int(np.searchsorted(times, begin + hold, side="left")) + 1, len(times))
-    ends = times[end[:starts]]
+    ends = times[:int(np.searchsorted(times, begin + hold)) + 1]
+    starts = ends
+    # All starts advance together, one message per round.
+    while True:
+        at = np.searchsorted(times, ends + hold)
+        more = at < len(times)
+        if not more.any():
+            break
+        ends = np.where(more, times[np.minimum(at, len(times) - 1)], ends)
     last_of_run = np.append(ends[1:] != ends[:-1], True)
-    return times[:starts][last_of_run], ends[last_of_run]
+    return starts[last_of_run], ends[last_of_run]
 
 
 def slice_entries(slices: list, hold: int) -> list[tuple[int, int]]:
     """Earliest time an alarm may be sent in each slice of a key, from its slice summaries in order."""
-    allowed, rows = int(np.iinfo(np.int64).min), []
+    allowed, rows = NEVER, []
     for s in slices:
         rows.append((int(s["_slice"]), allowed))
-        at = int(np.searchsorted(s["_starts"], allowed, side="left"))
+        at = int(np.searchsorted(s["_starts"], allowed))
         if at < len(s["_ends"]):
             allowed = int(s["_ends"][at]) + hold
     return rows
 
 
-def converge_exact(alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds: int, slice_seconds: int = 3_600) -> DataFrame:
+def converge_exact(
+    alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds: int, slice_seconds: int = 0,
+    hot_share: int = 100_000, hot_min_rows: int = 100_000,
+) -> DataFrame:
     """Alarms sent when each key stays silent for ``hold_seconds`` after every message: keys and ``sent_us``.
 
-    A decision depends on the one before, yet a busy key is still cut into time slices: each slice is summarised as
-    'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and every slice is
-    then decided on its own from the state it is entered with. An alarm without a time is never sent.
+    A decision depends on the one before. The alarms of an ordinary key are walked in one go. A key with more than
+    ``hot_min_rows`` alarms and more than 1/``hot_share`` of all is cut into time slices of at least the hold: each slice
+    is summarised as 'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and
+    every slice is then decided on its own from the state it is entered with. An alarm without a time is never sent.
     """
     keys = list(keys)
     hold, length = hold_seconds * 1_000_000, max(slice_seconds, hold_seconds) * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # Alarms at the same moment decide the same way.
-    moments = alarms.select(*keys, us.alias("_us")).filter(F.col("_us").isNotNull()).distinct().withColumn("_slice", F.floor(F.col("_us") / length).cast("long"))
-    lists = moments.groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list("_us")).alias("_times"))
+    moments = alarms.select(*keys, us.alias("_us")).filter(F.col("_us").isNotNull()).distinct()
+    # At most `hot_share` rows by construction, so broadcasting them is bounded.
+    hot = hot_keys(moments, keys, hot_share, hot_min_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    number = F.when(F.col("_hot"), F.floor(F.col("_us") / length)).cast("long")
+    moments = moments.join(F.broadcast(hot), same, "left").select(*keys, "_us", number.alias("_slice"))
+    lists = moments.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list("_us")).alias("_times"))
     key_fields = [alarms.schema[k] for k in keys]
-    number = T.StructField("_slice", T.LongType())
+    slice_field = T.StructField("_slice", T.LongType())
     longs = T.ArrayType(T.LongType())
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,16 +111,17 @@ def converge_exact(alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sent = [sent_times(np.asarray(t), hold, int(a)) for t, a in zip(pdf["_times"], pdf["_allowed"])]
-            yield pdf[keys].assign(sent_us=sent).explode("sent_us").dropna(subset=["sent_us"]).astype({"sent_us": "int64"})
+            sent = [sent_times(np.asarray(t), hold, a) for t, a in zip(pdf["_times"], pdf["_allowed"].tolist())]
+            owner = np.repeat(np.arange(len(pdf)), [len(x) for x in sent])
+            yield pdf[keys].iloc[owner].assign(sent_us=np.concatenate([*sent, np.array([], dtype="int64")]))
 
     exits = lists.mapInPandas(
-        summarise, T.StructType([*key_fields, number, T.StructField("_starts", longs), T.StructField("_ends", longs)])
+        summarise, T.StructType([*key_fields, slice_field, T.StructField("_starts", longs), T.StructField("_ends", longs)])
     )
     per_key = exits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_slice", "_starts", "_ends"))).alias("_slices"))
-    entries = per_key.mapInPandas(walk, T.StructType([*key_fields, number, T.StructField("_allowed", T.LongType())]))
+    entries = per_key.mapInPandas(walk, T.StructType([*key_fields, slice_field, T.StructField("_allowed", T.LongType())]))
     # The state a slice is entered with joins its moments as one more row.
     decided = moments.unionByName(entries, allowMissingColumns=True).groupBy(*keys, "_slice").agg(
-        F.array_sort(F.collect_list("_us")).alias("_times"), F.max("_allowed").alias("_allowed")
+        F.array_sort(F.collect_list("_us")).alias("_times"), F.coalesce(F.max("_allowed"), F.lit(NEVER)).alias("_allowed")
     )
     return decided.mapInPandas(decide, T.StructType([*key_fields, T.StructField("sent_us", T.LongType())]))

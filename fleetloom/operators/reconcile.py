@@ -55,7 +55,7 @@ def inventory_reconcile(
 
 def peers_of(instances: DataFrame, masters: DataFrame, cluster: str, keys: Sequence[str], role: str, peer_role: str = "Slave") -> DataFrame:
     """Instances in the role that share a cluster with one of the given masters."""
-    clusters = instances.join(masters.select(*keys).distinct(), list(keys), "left_semi").select(cluster).distinct()
+    clusters = instances.join(masters.select(*keys), list(keys), "left_semi").select(cluster).distinct()
     peers = instances.filter(F.col(role) == peer_role)
     return lookup_join(peers, clusters, [cluster], "left_semi", spread=keys, derived=True)
 

@@ -198,4 +198,4 @@ def keep_union(*keeps: DataFrame) -> DataFrame:
 
 def minus_keep(df: DataFrame, keep: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows not in the keep list, all rows when it is empty. ``on`` must identify a row, so no key is hot."""
-    return df.join(keep.select(*on).distinct(), list(on), "left_anti")
+    return df.join(keep.select(*on), list(on), "left_anti")

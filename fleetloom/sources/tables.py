@@ -53,14 +53,14 @@ def ensure_table(df: DataFrame, table: str, path: str | None = None, partition_b
     return True
 
 
-def route_by_date(df: DataFrame, table: str, ts: str, path: str, by: str = "day") -> DataFrame:
+def route_by_date(df: DataFrame, table: str, ts: str, path: str, by: str = "day", mode: str = "append") -> DataFrame:
     """Write each row below the schema and table of its date; returns the written data for reading.
 
     Rows are gathered by target first, so a task writes few files. The gathering is a rebalance: adaptive execution
     cuts a busy day into several tasks and merges the quiet ones.
     """
     routed = df.withColumns(shards.shard_columns(table, F.col(ts), by))
-    routed.hint("rebalance", F.col("shard_schema"), F.col("shard_table")).write.mode("overwrite").partitionBy(
+    routed.hint("rebalance", F.col("shard_schema"), F.col("shard_table")).write.mode(mode).partitionBy(
         "shard_schema", "shard_table"
     ).parquet(path)
     return df.sparkSession.read.parquet(path)

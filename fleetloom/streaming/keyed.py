@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fleetloom.operators.alarms import sent_times
-
-_NEVER = int(np.iinfo(np.int64).min)
+from fleetloom.operators.alarms import NEVER, sent_times
 
 
 def _timed(stream: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFrame:
@@ -32,11 +30,11 @@ def stream_converge(stream: DataFrame, keys: Sequence[str], ts: str, hold_second
         if state.hasTimedOut:
             state.remove()
             return
-        allowed = state.get[0] if state.exists else _NEVER
+        allowed = state.get[0] if state.exists else NEVER
         times = np.unique(np.concatenate([b["_us"].to_numpy() for b in batches]))
         sent = sent_times(times, hold, allowed)
-        if sent:
-            allowed = sent[-1] + hold
+        if len(sent):
+            allowed = int(sent[-1]) + hold
         state.update((allowed,))
         # A state that can no longer hold anything back is dropped.
         state.setTimeoutTimestamp(max(allowed // 1_000, state.getCurrentWatermarkMs() + 1))

@@ -32,22 +32,23 @@ def test_slices_compose_to_the_loop(times, hold, more):
         summaries.append({"_slice": n, "_starts": starts, "_ends": ends})
     got = []
     for n, allowed in alarms.slice_entries(summaries, hold):
-        got += alarms.sent_times(np.array(parts[n]), hold, allowed)
+        got += alarms.sent_times(np.array(parts[n]), hold, allowed).tolist()
     assert got == loop(times, hold)
 
 
 def frame(spark, n=600):
     rnd = np.random.default_rng(3)
     data = [("busy", START + dt.timedelta(seconds=int(s)), i) for i, s in enumerate(rnd.integers(0, 40_000, n))]
-    data += [("calm", START + dt.timedelta(hours=h), n + h) for h in range(5)] + [(None, START, 9_999), ("busy", START, 10_000)]
+    data += [("calm", START + dt.timedelta(hours=h), n + h) for h in range(5)] + [(None, START, 9_999), (None, START + dt.timedelta(days=1), 9_998), ("busy", START, 10_000)]
     return data, spark.createDataFrame(data, "k string, ts timestamp_ntz, id long")
 
 
 def test_converge_exact_matches_the_loop(spark):
     data, df = frame(spark)
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
-    for slice_seconds in (1, 900, 10**6):
-        got = sorted(((r["k"], r["sent_us"]) for r in alarms.converge_exact(df, ["k"], "ts", 300, slice_seconds).collect()), key=repr)
+    for slice_seconds, hot_rows in ((0, 10**6), (0, 0), (900, 0), (10**6, 0)):
+        out = alarms.converge_exact(df, ["k"], "ts", 300, slice_seconds, hot_share=3, hot_min_rows=hot_rows)
+        got = sorted(((r["k"], r["sent_us"]) for r in out.collect()), key=repr)
         want = [(k, t) for k in {d[0] for d in data} for t in loop([us(d[1]) for d in data if d[0] == k], 300_000_000)]
         assert got == sorted(want, key=repr)
 
