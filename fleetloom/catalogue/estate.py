@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.catalogue.registry import query, table
 from fleetloom.operators import chains, reconcile, shards
+from fleetloom.plans.estate_sync import sync_backup_info
 from fleetloom.operators.tables import name_age_filter, positions_equal, project_catalogue, role_and_lag, shard_match
 
 SEGMENTS = """
@@ -261,3 +262,32 @@ def name_age(spark, d):
 def catalogue(spark, d):
     out = project_catalogue(table(spark, d, "supplier"), {"s_suppkey": "machine", "s_name": "host", "s_nationkey": "port"})
     return out.withColumn("port", F.col("port").cast("long"))
+
+
+@query("estate_sync", """
+WITH i AS (SELECT c_custkey % 400 AS type, c_custkey, CASE c_custkey % 7 WHEN 0 THEN 'Master' WHEN 1 THEN 'Masterbackup' ELSE 'Slave' END AS role
+           FROM customer WHERE c_acctbal > 2000),
+m AS (SELECT DISTINCT type FROM i WHERE role = 'Master'),
+s AS (SELECT type, arg_min(c_custkey, (CASE role WHEN 'Masterbackup' THEN 1 ELSE 2 END, c_custkey)) AS source_host FROM i WHERE role <> 'Master' GROUP BY 1),
+u AS (SELECT type, source_host FROM s SEMI JOIN m USING (type)),
+b AS (SELECT s_suppkey AS type, s_suppkey AS source_host, CASE WHEN s_acctbal > 4000 THEN 'online' ELSE 'paused' END AS state,
+             CAST(s_nationkey AS BIGINT) AS weekday FROM supplier)
+SELECT coalesce(b.type, u.type) AS type, CASE WHEN u.type IS NOT NULL THEN 'net' ELSE 'old' END AS address,
+       coalesce(u.source_host, b.source_host) AS source_host, CAST(3306 AS BIGINT) AS source_port,
+       CASE WHEN b.type IS NULL THEN 'online' WHEN u.type IS NULL THEN 'offline' ELSE b.state END AS state,
+       CASE WHEN b.type IS NULL THEN 9 ELSE b.weekday END AS weekday
+FROM b FULL JOIN u ON b.type = u.type
+""")
+def estate_sync(spark, d):
+    """Suppliers as the backup settings of clusters that the customers' instances form."""
+    role = F.when(F.col("c_custkey") % 7 == 0, "Master").when(F.col("c_custkey") % 7 == 1, "Masterbackup").otherwise("Slave")
+    inst = table(spark, d, "customer").select(
+        (F.col("c_custkey") % 400).alias("type"), F.col("c_custkey").alias("server_host"), F.lit(3306).cast("long").alias("server_port"),
+        role.alias("role"), F.when(F.col("c_acctbal") > 2000, "online").otherwise("offline").alias("state"),
+    )
+    info = table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("type"), F.lit("old").alias("address"), F.col("s_suppkey").alias("source_host"),
+        F.lit(3306).cast("long").alias("source_port"), F.when(F.col("s_acctbal") > 4000, "online").otherwise("paused").alias("state"),
+        F.col("s_nationkey").cast("long").alias("weekday"),
+    )
+    return sync_backup_info(info, inst, "net", {"state": "online", "weekday": 9})

@@ -191,6 +191,21 @@ def range_text(text: Column) -> Column:
     return F.struct(clock_to_second(part.getItem(0)).alias("start_sec"), clock_to_second(part.getItem(1)).alias("end_sec"))
 
 
+def comma_list(text: Column) -> Column:
+    """``a, b`` as an array of trimmed, non-empty parts."""
+    return F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def host_port(text: Column) -> Column:
+    """Struct of host and port from ``host:port``."""
+    return F.struct(name_part(text, 1, ":").alias("host"), name_part(text, 2, ":").try_cast("int").alias("port"))
+
+
+def wall_clock(utc: Column, zone: str) -> Column:
+    """Local wall-clock time of a UTC time, to compare the two kinds of columns in a row."""
+    return F.from_utc_timestamp(utc, zone)
+
+
 def rule_array(text: Column) -> Column:
     """``0-7-365`` as an array of whole numbers."""
     return F.transform(F.split(text, "-"), lambda p: p.try_cast("int"))

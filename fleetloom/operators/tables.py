@@ -98,8 +98,15 @@ def shard_match(df: DataFrame, name: str, template: str) -> DataFrame:
     return df.filter(F.col(name).rlike(shard_pattern(template)))
 
 
-def name_age_filter(df: DataFrame, name: str, prefix: str, today: dt.date, days: int) -> DataFrame:
-    """Names ``prefix_`` + ten digits whose first eight are a date more than ``days`` before ``today``."""
+def name_age_filter(
+    df: DataFrame, name: str, prefix: str, today: dt.date, days: int, disk_used: float | None = None, disk_limit: float = 80.0
+) -> DataFrame:
+    """Names ``prefix_`` + ten digits whose first eight are a date more than ``days`` before ``today``.
+
+    None while the disk is not above its limit.
+    """
+    if disk_used is not None and disk_used <= disk_limit:
+        df = df.limit(0)
     digits = F.regexp_extract(F.col(name), f"^{prefix}_([0-9]{{8}})[0-9]{{2}}", 1)
     day = F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
     return df.withColumn("name_date", day).filter(F.col("name_date") < F.lit(today - dt.timedelta(days=days)))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.operators.archive import archive_split
+from fleetloom.functions import scalars as S
+from fleetloom.operators.archive import archive_split, retire_partitions
+from fleetloom.operators.config import resolve_config
 from fleetloom.operators.retention import status_rollup
+from fleetloom.operators.tables import active_rows, older_than
 
 
 def run_archive(
@@ -27,3 +30,28 @@ def run_archive(
     written = df.sparkSession.read.parquet(f"{out}/rows")
     moved = written.filter(F.col("side") == "archived").agg(F.count("*").alias("n")).scalar()
     return task.withColumn("exec_status", F.when(F.col("row_count") == moved, F.col("exec_status")).otherwise("Fail"))
+
+
+def archive_partitioned(spark: SparkSession, table: str, column: str, today: dt.date, days: int, out: str, backup: bool = True) -> list[str]:
+    """The way for a table partitioned by its time column: copy the old partitions, then drop them whole.
+
+    Only the old partitions are read, and no row of the others is rewritten. Returns the dropped partition values.
+    """
+    if not any(c.isPartition and c.name == column for c in spark.catalog.listColumns(table)):
+        raise ValueError(f"{table} is not partitioned by {column}")
+    if backup:
+        old = older_than(spark.table(table), column, today, days)
+        old.write.mode("overwrite").partitionBy(column).parquet(f"{out}/archived")
+    return retire_partitions(spark, table, column, today - dt.timedelta(days=days))
+
+
+def archive_tasks(archive_info: DataFrame, person: DataFrame, common: DataFrame, started: dt.datetime) -> DataFrame:
+    """One task per online table to archive, with its id, chunk size and whether a copy is kept."""
+    tables = active_rows(archive_info).withColumn("key", F.lit("archive_count"))
+    sized = resolve_config(tables, person, common, person_keys=["key", "server_host", "server_port"])
+    at = F.lit(started).cast("timestamp_ntz")
+    return sized.select(
+        S.instance_task_id(F.col("server_host"), F.col("server_port"), at).alias("task_id"), "server_host", "server_port",
+        S.name_part(F.col("table"), 1).alias("table_schema"), S.name_part(F.col("table"), 2).alias("table_name"), "column", "keep_days",
+        (F.upper("backup_status") == "Y").alias("backup"), F.col("value").try_cast("long").alias("chunk_rows"),
+    )

@@ -39,6 +39,17 @@ def scan_jdbc(
     return reader.load()
 
 
+def unknown_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The stored 'unknown' date or time of 1970-01-01 00:00:00 read as NULL."""
+    zero = {c: F.lit("1970-01-01").cast(df.schema[c].dataType) for c in columns}
+    return df.withColumns({c: F.nullif(F.col(c), z) for c, z in zero.items()})
+
+
+def null_to_unknown(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same the other way, for output that must not hold NULL."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit("1970-01-01").cast(df.schema[c].dataType)) for c in columns})
+
+
 def ensure_table(df: DataFrame, table: str, path: str | None = None, partition_by: Sequence[str] = ()) -> bool:
     """Create an empty table with the columns of ``df`` unless it exists; True when it was created."""
     spark = df.sparkSession

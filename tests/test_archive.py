@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.operators import archive
 from fleetloom.operators.tables import age_limit, key_range, older_than
-from fleetloom.plans.archive_run import run_archive
+from fleetloom.plans.archive_run import archive_partitioned, archive_tasks, run_archive
 
 TODAY = dt.date(2020, 3, 1)
 
@@ -87,3 +87,25 @@ def test_retirable_parts_compares_dates_not_text(spark, rows):
 def test_footprint(spark, rows):
     parts = spark.createDataFrame([("s", "t", 1048576, 1048576, 5), ("s", "t", 0, 524288, 1)], "s string, t string, d long, i long, n long")
     assert rows(archive.footprint(parts, ["s", "t"], "d", "i", "n")) == [("s", "t", 2.5, 6, 2)]
+
+
+def test_partitioned_table_is_copied_then_dropped(spark, tmp_path):
+    df = spark.createDataFrame([(1, dt.date(2020, 1, 1)), (2, dt.date(2020, 1, 30)), (3, dt.date(2020, 1, 31)), (4, dt.date(2020, 2, 9))], "id long, day date")
+    df.write.option("path", str(tmp_path / "t")).partitionBy("day").saveAsTable("archive_me")
+    assert archive_partitioned(spark, "archive_me", "day", TODAY, 30, str(tmp_path / "out")) == ["2020-01-01", "2020-01-30"]
+    assert sorted(r["id"] for r in spark.table("archive_me").collect()) == [3, 4]
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out" / "archived")).collect()) == [1, 2]
+    with pytest.raises(ValueError):
+        archive_partitioned(spark, "archive_me", "id", TODAY, 30, str(tmp_path / "out"))
+
+
+def test_archive_tasks(spark, rows):
+    info = spark.createDataFrame([
+        ("172.16.112.12", 10000, "shop.orders", "created", 30, "y", "online"), ("172.16.112.13", 10000, "shop.logs", "at", 7, "N", "online"),
+        ("172.16.112.13", 10000, "shop.old", "at", 7, "N", "offline"),
+    ], "server_host string, server_port int, table string, column string, keep_days int, backup_status string, state string")
+    person = spark.createDataFrame([("archive_count", "1000", "172.16.112.12", 10000, "online")], "key string, value string, server_host string, server_port int, state string")
+    common = spark.createDataFrame([("archive_count", "20000", "online")], "key string, value string, state string")
+    got = archive_tasks(info, person, common, dt.datetime(2019, 1, 2, 3, 4, 5))
+    assert rows(got, "task_id", "table_schema", "table_name", "backup", "chunk_rows") == [
+        ("1721611212_10000_20190102030405", "shop", "orders", True, 1000), ("1721611213_10000_20190102030405", "shop", "logs", False, 20000)]

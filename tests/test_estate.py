@@ -142,3 +142,17 @@ def test_small_operators(spark, rows):
     assert rows(op.threshold_breach(lim, "v", 10), "id") == [(2,)] and op.threshold_breach(lim, "v", 10, inclusive=True).count() == 2
     role = spark.createDataFrame([(None, None, None), ("Yes", "Yes", "7"), ("Yes", "No", "7"), ("Yes", "Yes", "NULL")], "io string, sql string, behind string")
     assert rows(op.role_and_lag(role, "io", "sql", "behind"), "role", "lag") == sorted([("master", 0), ("slave", 7), ("master", 0), ("slave", None)], key=repr)
+
+
+def test_estate_sync(spark, rows):
+    from fleetloom.plans.estate_sync import sync_backup_info
+
+    inst = spark.createDataFrame([
+        ("A", "m", 1, "Master", "online"), ("A", "s", 1, "Slave", "online"), ("A", "b", 1, "Masterbackup", "online"),
+        ("B", "m", 1, "Master", "online"), ("B", "s", 1, "Slave", "offline"), ("C", "m", 1, "Master", "online"), ("C", "s", 2, "Slave", "online"),
+        ("D", "m", 1, "Master", "offline"), ("D", "s", 1, "Slave", "online"),
+    ], "type string, server_host string, server_port int, role string, state string")
+    info = spark.createDataFrame([("A", "old", "x", 9, "paused", 3), ("B", "old", "x", 9, "online", 3), ("D", "old", "x", 9, "online", 3)],
+                                 "type string, address string, source_host string, source_port int, state string, weekday int")
+    assert rows(sync_backup_info(info, inst, "net", {"state": "online", "weekday": 9})) == [
+        ("A", "net", "b", 1, "paused", 3), ("B", "old", "x", 9, "offline", 3), ("C", "net", "s", 2, "online", 9), ("D", "old", "x", 9, "offline", 3)]

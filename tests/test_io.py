@@ -131,3 +131,23 @@ def test_scan_prunes_and_pushes_down(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+def test_unknown_times(spark, rows):
+    df = spark.createDataFrame([(1, dt.datetime(1970, 1, 1), dt.date(1970, 1, 1)), (2, dt.datetime(2020, 1, 1), dt.date(2020, 1, 1))], "i int, t timestamp_ntz, d date")
+    null = tables.unknown_to_null(df, ["t", "d"])
+    assert rows(null) == [(1, None, None), (2, dt.datetime(2020, 1, 1), dt.date(2020, 1, 1))]
+    assert rows(tables.null_to_unknown(null, ["t", "d"])) == rows(df)
+
+
+def test_collector_whitelists(spark, rows):
+    from fleetloom import whitelists
+    from fleetloom.operators.tables import exclude_names, null_defaults, pivot_whitelist
+
+    raw = spark.createDataFrame([("h", "Slow_queries", "5"), ("h", "Key_read_requests", "7"), ("h", "Uptime", "9"), ("h", "slow_queries", "6")], "ip string, n string, v string")
+    row = pivot_whitelist(raw, ["ip"], "n", "v", whitelists.STATUS, "f").first()
+    assert (row["fslow_queries"], row["fkey_read_requests"], row["fqueries"]) == ("5", "7", None) and len(row) == 54
+    info = spark.createDataFrame([("shop", None, None), ("sys", "x", "1")], "table_schema string, row_format string, engine string")
+    kept = exclude_names(info, "table_schema", whitelists.SYSTEM_SCHEMAS)
+    wanted = {c: whitelists.TABLE_INFO_DEFAULTS[c] for c in info.columns}
+    assert rows(null_defaults(kept, wanted)) == [("shop", "0", "")]

@@ -85,3 +85,9 @@ def test_ranges_and_json(one):
     assert one(S.rule_array(F.lit("0-7-365-3650"))) == [0, 7, 365, 3650]
     assert one(S.to_sorted_json({"b": F.lit(1), "a": F.lit("x")})) == '{"a":"x","b":1}'
     assert one(S.text_bytes(F.lit("é"))) == 2 and one(S.text_length(F.lit("é"))) == 1
+
+
+def test_lists_hosts_and_zones(one):
+    assert one(S.comma_list(F.lit("mail, sms,,phone "))) == ["mail", "sms", "phone"]
+    assert tuple(one(S.host_port(F.lit("172.16.112.12:10000")))) == ("172.16.112.12", 10000)
+    assert one(S.wall_clock(F.lit("2019-02-14 06:41:24").cast("timestamp"), "Asia/Shanghai").cast("string")) == "2019-02-14 14:41:24"
