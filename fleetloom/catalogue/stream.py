@@ -2,14 +2,37 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import functions as F
 
-from fleetloom.catalogue.registry import query, table
+from fleetloom.catalogue import registry
+from fleetloom.catalogue.registry import table
 from fleetloom.catalogue.telemetry import ALARMS, hourly
 from fleetloom.session import work_folder
 from fleetloom.streaming import keyed, minutes
 
 
+def query(name, sql):
+    """Register a stream query; on a local session its state is kept in as many parts as there are cores."""
+
+    def add(fn):
+        @wraps(fn)
+        def sized(spark, d):
+            key = "spark.sql.shuffle.partitions"
+            before = spark.conf.get(key)
+            if spark.sparkContext.master.startswith("local"):
+                spark.conf.set(key, min(int(before), spark.sparkContext.defaultParallelism))
+            try:
+                return fn(spark, d)
+            finally:
+                spark.conf.set(key, before)
+
+        return registry.query(name, sql)(sized)
+
+    return add
+
+
 def event_stream(spark, d):
     return minutes.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
 

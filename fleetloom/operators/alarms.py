@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetloom.functions.skew import hot_keys, ordinal_in_key
+from fleetloom.session import ship_package
 
 # A time before all others: nothing holds back the first alarm.
 NEVER = int(np.iinfo(np.int64).min)
@@ -84,6 +85,7 @@ def converge_exact(
     is summarised as 'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and
     every slice is then decided on its own from the state it is entered with. An alarm without a time is never sent.
     """
+    ship_package(alarms.sparkSession)
     keys = list(keys)
     hold, length = hold_seconds * 1_000_000, max(slice_seconds, hold_seconds) * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))

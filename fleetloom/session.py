@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -53,6 +55,18 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark application: functions that run there import it."""
+    context = spark.sparkContext
+    if getattr(context, "_fleetloom_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # Built on the driver, which serves it to the executors.
+    archive = os.path.join(tempfile.mkdtemp(prefix="fleetloom-package-"), "fleetloom")
+    context.addPyFile(shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package)))
+    context._fleetloom_shipped = True
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so a lost executor cannot change rows already numbered."""
     spark = df.sparkSession

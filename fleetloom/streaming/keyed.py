@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fleetloom.operators.alarms import NEVER, sent_times
+from fleetloom.session import ship_package
 
 
 def _timed(stream: DataFrame, keys: Sequence[str], ts: str, late: str) -> DataFrame:
+    ship_package(stream.sparkSession)
     timed = stream.select(*keys, F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", late)
     return timed.withColumn("_us", F.unix_micros("_ts"))
 
