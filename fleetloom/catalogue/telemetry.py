@@ -267,6 +267,36 @@ def overdue(spark, d):
     )
 
 
+@query("overdue_expected", """
+WITH l AS (SELECT c_custkey AS o_custkey, (SELECT epoch_us(max(o_orderdate)) // 1000000 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'
+                                           AND o_orderpriority = '2-HIGH') AS last_seen FROM customer)
+SELECT o_custkey, last_seen, 996624000 - last_seen AS late_seconds FROM l WHERE last_seen IS NULL OR 996624000 - last_seen >= 365 * 86400
+""")
+def overdue_expected(spark, d):
+    """Customers without a recent order of a kind, those without any included."""
+    now = F.lit("2001-08-01 00:00:00").cast("timestamp_ntz")
+    some = table(spark, d, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "2-HIGH"))
+    everyone = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    late = gaps.overdue(some, ["o_custkey"], "o_orderdate", now, 365 * 86_400, everyone)
+    return late.select("o_custkey", epoch("last_seen"), "late_seconds")
+
+
+@query("fill_gaps_values", """
+WITH o AS (SELECT user_id, epoch_us(date_trunc('hour', ts)) // 1000000 AS slot, CAST(max(CASE WHEN event_type = 'click' THEN event_id END) AS BIGINT) AS click,
+                  CAST(max(CASE WHEN event_type = 'view' THEN event_id END) AS BIGINT) AS seen FROM events GROUP BY 1, 2),
+b AS (SELECT user_id, min(slot) AS lo, max(slot) AS hi FROM o GROUP BY 1),
+g AS (SELECT user_id, unnest(range(lo, hi + 1, 3600)) AS slot FROM b)
+SELECT g.user_id, g.slot AS slot_epoch, last_value(o.click IGNORE NULLS) OVER w AS click, last_value(o.seen IGNORE NULLS) OVER w AS seen,
+       o.click IS NULL OR o.seen IS NULL AS filled
+FROM g LEFT JOIN o ON o.user_id = g.user_id AND o.slot = g.slot WINDOW w AS (PARTITION BY g.user_id ORDER BY g.slot)
+""")
+def fill_gaps_values(spark, d):
+    """Hourly series per user with two values, each with holes of its own."""
+    latest = lambda t: F.max(F.when(F.col("event_type") == t, F.col("event_id")))
+    hours = user_hours(spark, d).groupBy("user_id", "slot").agg(latest("click").alias("click"), latest("view").alias("seen"))
+    return gaps.fill_gaps(hours, ["user_id"], "slot", ["click", "seen"], 3600)
+
+
 @query("capacity_trend", """
 WITH p AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS row_count, sum(length(props)) AS bytes
            FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-30' AND CAST(ts AS DATE) > DATE '2023-12-31' GROUP BY 1, 2)

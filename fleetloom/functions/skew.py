@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetloom.session import pin
+from fleetloom.session import pin, work_folder
 
 BROADCAST_ROWS = 100_000
 HOT_SHARE = 1_000
@@ -95,6 +95,29 @@ def previous_sample(
     return both.withColumn(name, F.lag(sample).over(w)).filter(~F.col("_halo")).drop("_halo", "_slice")
 
 
+def carry_values(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], slice_seconds: int = 86_400) -> DataFrame:
+    """Add ``before_slot``, the time of the sample before, and ``before_<value>``, the last known value before each sample.
+
+    ``(keys, ts)`` must be unique. Works in time slices as ``previous_sample`` does.
+    """
+    keys = list(keys)
+    sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds))
+    # max_by passes over rows whose order is NULL, so each value is the last known one of its slice.
+    last = sliced.groupBy(*keys, "_slice").agg(
+        F.max(ts).alias(ts), *[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(ts))).alias(v) for v in values]
+    )
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    halo = last.select(
+        *keys, "_slice", F.last(ts, ignorenulls=True).over(earlier).alias(ts),
+        *[F.last(v, ignorenulls=True).over(earlier).alias(v) for v in values], F.lit(True).alias("_halo"),
+    ).filter(F.col(ts).isNotNull())
+    both = sliced.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_slice").orderBy(ts)
+    so_far = w.rowsBetween(Window.unboundedPreceding, -1)
+    found = {"before_slot": F.lag(ts).over(w), **{f"before_{v}": F.last(v, ignorenulls=True).over(so_far) for v in values}}
+    return both.withColumns(found).filter(~F.col("_halo")).drop("_halo", "_slice")
+
+
 def ordinal_in_key(
     df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], slice_seconds: int = 60, name: str = "ordinal"
 ) -> DataFrame:
@@ -137,22 +160,26 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 def number_rows(df: DataFrame, order: Sequence[str | Column], name: str = "row_no") -> DataFrame:
     """Add a gapless 1-based number over the whole table in ``order``, without a single-task window.
 
-    The rows are range-partitioned, sorted inside the partitions and pinned, which fixes partition and position.
-    Only the row count of each partition reaches the driver, to become that partition's starting number.
+    The rows are range-partitioned, sorted inside the partitions and written to the shared folder with their partition
+    and position, so that a lost executor cannot move a row to another place. Only the row count of each partition
+    reaches the driver, to become that partition's starting number.
     """
-    pinned = pin(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = pinned.withColumn("_place", F.monotonically_increasing_id()).select(
-        "*", F.shiftright("_place", 33).cast("int").alias("_part"),
-        F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
-    ).drop("_place")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("n")).collect()
+    spark = df.sparkSession
+    path = work_folder(spark, "numbered")
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "*", F.spark_partition_id().alias("_part"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
+    )
+    placed.write.parquet(path)
+    written = spark.read.schema(placed.schema).parquet(path)
+    sizes = written.groupBy("_part").agg(F.count("*").alias("n")).collect()
     starts, start = [], 0
     for part, n in sorted((r["_part"], r["n"]) for r in sizes):
         starts.append((part, start))
         start += n
-    offsets = df.sparkSession.createDataFrame(starts, "_part int, _start long")
+    offsets = spark.createDataFrame(starts, "_part int, _start long")
     # One row per partition.
     return (
-        placed.join(F.broadcast(offsets), "_part")
+        written.join(F.broadcast(offsets), "_part")
         .withColumn(name, F.col("_start") + F.col("_pos") + F.lit(1)).drop("_part", "_pos", "_start")
     )

@@ -21,7 +21,7 @@ def pivot_whitelist(
     listed = [w.lower() for w in wanted] if fold_case else list(wanted)
     wide = (
         df.withColumn("_name", label).filter(F.col("_name").isin(listed))
-        .groupBy(*keys).pivot("_name", listed).agg(F.first(value, ignorenulls=True))
+        .groupBy(*keys).pivot("_name", listed).agg(F.max(value))
     )
     return wide.withColumnsRenamed({w: prefix + w.lower() for w in listed})
 

@@ -101,11 +101,11 @@ def test_partitioned_table_is_copied_then_dropped(spark, tmp_path):
 
 def test_archive_tasks(spark, rows):
     info = spark.createDataFrame([
-        ("172.16.112.12", 10000, "shop.orders", "created", 30, "y", "online"), ("172.16.112.13", 10000, "shop.logs", "at", 7, "N", "online"),
-        ("172.16.112.13", 10000, "shop.old", "at", 7, "N", "offline"),
+        ("10.0.0.12", 10000, "shop.orders", "created", 30, "y", "online"), ("10.0.0.13", 10000, "shop.logs", "at", 7, "N", "online"),
+        ("10.0.0.13", 10000, "shop.old", "at", 7, "N", "offline"),
     ], "server_host string, server_port int, table string, column string, keep_days int, backup_status string, state string")
-    person = spark.createDataFrame([("archive_count", "1000", "172.16.112.12", 10000, "online")], "key string, value string, server_host string, server_port int, state string")
+    person = spark.createDataFrame([("archive_count", "1000", "10.0.0.12", 10000, "online")], "key string, value string, server_host string, server_port int, state string")
     common = spark.createDataFrame([("archive_count", "20000", "online")], "key string, value string, state string")
     got = archive_tasks(info, person, common, dt.datetime(2019, 1, 2, 3, 4, 5))
     assert rows(got, "task_id", "table_schema", "table_name", "backup", "chunk_rows") == [
-        ("1721611212_10000_20190102030405", "shop", "orders", True, 1000), ("1721611213_10000_20190102030405", "shop", "logs", False, 20000)]
+        ("100012_10000_20190102030405", "shop", "orders", True, 1000), ("100013_10000_20190102030405", "shop", "logs", False, 20000)]

@@ -4,8 +4,8 @@ from fleetloom.operators import config
 from fleetloom.sources.text import scan_kv_lines
 
 PERSON = [
-    ("threads_running", "20000", "172.16.112.10", 65536, "offline"), ("threads_running", "30000", "172.16.112.10", 10000, "online"),
-    ("archive_count", "1000", "172.16.112.12", 10000, "online"),
+    ("threads_running", "20000", "10.0.0.10", 65536, "offline"), ("threads_running", "30000", "10.0.0.10", 10000, "online"),
+    ("archive_count", "1000", "10.0.0.12", 10000, "online"),
 ]
 COMMON = [("archive_count", "20000", "online"), ("threads_running", "1000", "online"), ("repl_time", "3", "online"), ("old", "1", "offline")]
 KEYS = ("key", "server_host", "server_port")
@@ -21,13 +21,13 @@ def resolve(spark, asked, **more):
 
 def test_recorded_overrides(spark):
     got = resolve(spark, [
-        ("archive_count", "172.16.112.12", 10000), ("archive_count", "172.16.112.13", 10000), ("threads_running", "172.16.112.10", 65536),
-        ("threads_running", "172.16.112.10", 10000), ("old", "x", 1), ("nothing", "x", 1),
+        ("archive_count", "10.0.0.12", 10000), ("archive_count", "10.0.0.13", 10000), ("threads_running", "10.0.0.10", 65536),
+        ("threads_running", "10.0.0.10", 10000), ("old", "x", 1), ("nothing", "x", 1),
     ])
-    assert got[("archive_count", "172.16.112.12", 10000)] == ("1000", "person", False)
-    assert got[("archive_count", "172.16.112.13", 10000)] == ("20000", "common", False)
-    assert got[("threads_running", "172.16.112.10", 65536)] == ("1000", "common", False)
-    assert got[("threads_running", "172.16.112.10", 10000)] == ("30000", "person", False)
+    assert got[("archive_count", "10.0.0.12", 10000)] == ("1000", "person", False)
+    assert got[("archive_count", "10.0.0.13", 10000)] == ("20000", "common", False)
+    assert got[("threads_running", "10.0.0.10", 65536)] == ("1000", "common", False)
+    assert got[("threads_running", "10.0.0.10", 10000)] == ("30000", "person", False)
     assert got[("old", "x", 1)] == (None, "none", True) == got[("nothing", "x", 1)]
 
 
@@ -41,9 +41,9 @@ def test_local_file_and_empty_value(spark):
 
 def test_host_tier(spark):
     host = spark.createDataFrame([("archive_count", "h", "55", "online")], "key string, server_host string, value string, state string")
-    got = resolve(spark, [("archive_count", "h", 1), ("archive_count", "172.16.112.12", 10000)], host_wide=host)
+    got = resolve(spark, [("archive_count", "h", 1), ("archive_count", "10.0.0.12", 10000)], host_wide=host)
     assert got[("archive_count", "h", 1)] == ("55", "host", False)
-    assert got[("archive_count", "172.16.112.12", 10000)] == ("1000", "person", False)
+    assert got[("archive_count", "10.0.0.12", 10000)] == ("1000", "person", False)
 
 
 def test_two_rows_for_a_key_are_an_error(spark):

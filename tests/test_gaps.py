@@ -44,6 +44,24 @@ def test_fill_gaps(spark, rows):
     assert got.filter("k = 'c'").count() == 3001
 
 
+def test_expected_keys_that_never_reported(spark, rows):
+    want = spark.createDataFrame([("a",), ("z",)], "k string")
+    got = gaps.gap_islands(samples(spark).filter("k = 'a'"), ["k"], "slot", 60, bounds=(sec(0), sec(5)), expected=want)
+    assert rows(got) == [("a", sec(2), sec(3), 2), ("a", sec(5), sec(5), 1), ("z", sec(0), sec(5), 6)]
+    late = gaps.overdue(samples(spark), ["k"], "slot", F.lit(at(5)), 3600, expected=want)
+    assert rows(late, "k", "last_seen", "late_seconds") == [("z", None, None)]
+
+
+def test_fill_each_value_on_its_own(spark, rows):
+    df = spark.createDataFrame([
+        ("a", at(0), None, 1), ("a", at(1), 5, None), ("a", at(3), None, 4), ("a", at(2000), None, None), ("a", at(2001), 9, 9),
+    ], "k string, slot timestamp_ntz, x long, y long")
+    got = {r["slot_epoch"]: (r["x"], r["y"], r["filled"]) for r in gaps.fill_gaps(df, ["k"], "slot", ["x", "y"], 60).collect()}
+    assert len(got) == 2002
+    assert [got[sec(m)] for m in (0, 1, 2, 3, 4, 1999, 2000, 2001)] == [
+        (None, 1, True), (5, 1, True), (5, 1, True), (5, 4, True), (5, 4, True), (5, 4, True), (5, 4, True), (9, 9, False)]
+
+
 def test_overdue_at_the_limit(spark, rows):
     got = gaps.overdue(samples(spark), ["k"], "slot", F.lit(at(64)), 3600)
     assert rows(got, "k", "late_seconds") == [("a", 3600), ("b", 3720)]

@@ -33,23 +33,23 @@ def test_partial_keeps_the_rest(spark, rows):
     assert rows(upserts.upsert_partial(target(spark), batch(spark), ["ip", "port"], ["b"], ["seq"]).filter("port = 1")) == [("h", 1, 10, "x")]
 
 
-SECTION = """Started dump at: 2018-12-23 20:40:42
+SECTION = """Started dump at: 2021-05-06 01:02:03
 SHOW MASTER STATUS:
 \tLog: binlog.000006
-\tPos: 34248173
+\tPos: 1200345
 \tGTID:
 
 SHOW SLAVE STATUS:
-\tHost: 172.16.112.12
+\tHost: 10.0.0.12
 \tLog: binlog.000007
-\tPos: 35718139
+\tPos: 9800456
 \tGTID:
-Finished dump at: 2018-12-23 20:40:48
+Finished dump at: 2021-05-06 01:02:09
 """
 
 
 @pytest.mark.parametrize("io,sql,want", [
-    ("Yes", "Yes", ("up", 3307, "binlog.000007", 35718139)), ("Yes", "No", ("src", 3306, "binlog.000006", 34248173)), (None, None, ("src", 3306, "binlog.000006", 34248173)),
+    ("Yes", "Yes", ("up", 3307, "binlog.000007", 9800456)), ("Yes", "No", ("src", 3306, "binlog.000006", 1200345)), (None, None, ("src", 3306, "binlog.000006", 1200345)),
 ])
 def test_section_metadata(spark, tmp_path, io, sql, want):
     (tmp_path / "metadata").write_text(SECTION)
@@ -57,16 +57,16 @@ def test_section_metadata(spark, tmp_path, io, sql, want):
     status = lambda v: F.lit(v).cast("string")
     row = text.parse_section_metadata(files, "text", F.lit("src"), F.lit(3306), status(io), status(sql), F.lit("up"), F.lit(3307), ["path"]).first()
     assert row[1:5] == want and row["path"].endswith("/metadata")
-    assert (row["start_time"], row["end_time"]) == (dt.datetime(2018, 12, 23, 20, 40, 42), dt.datetime(2018, 12, 23, 20, 40, 48))
+    assert (row["start_time"], row["end_time"]) == (dt.datetime(2021, 5, 6, 1, 2, 3), dt.datetime(2021, 5, 6, 1, 2, 9))
 
 
-INFO = """uuid = 2123e102-2ffc-11e9-a400-000c293e177f
+INFO = """uuid = 6f1d0c52-0000-4000-8000-00000000a001
 name = 
 tool_name = innobackupex
 start_time = 2019-02-14 09:59:01
 end_time = 2019-02-14 09:59:14
 lock_time = 0
-binlog_pos = filename 'binlog.000013', position '24833953'
+binlog_pos = filename 'binlog.000042', position '7654321'
 format = tar
 """
 
@@ -74,7 +74,7 @@ format = tar
 def test_info_metadata(spark):
     df = spark.createDataFrame([(INFO,), ("start_time = 1970-01-01 00:00:00\nname = x\n",)], "text string")
     got = [tuple(r) for r in text.parse_info_metadata(df, "text", F.lit("h"), F.lit(10000)).collect()]
-    assert got[0] == ("h", 10000, "binlog.000013", 24833953, dt.datetime(2019, 2, 14, 9, 59, 1), dt.datetime(2019, 2, 14, 9, 59, 14))
+    assert got[0] == ("h", 10000, "binlog.000042", 7654321, dt.datetime(2019, 2, 14, 9, 59, 1), dt.datetime(2019, 2, 14, 9, 59, 14))
     assert got[1] == ("h", 10000, None, None, None, None)
 
 
