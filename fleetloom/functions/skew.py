@@ -71,28 +71,25 @@ def time_slice(ts: Column, seconds: int) -> Column:
 
 
 def previous_sample(
-    df: DataFrame, keys: Sequence[str], ts: str, carry: Sequence[str], slice_seconds: int = 86_400, name: str = "prev"
+    df: DataFrame, keys: Sequence[str], ts: str, carry: Sequence[str], slice_seconds: int = 86_400
 ) -> DataFrame:
-    """Add ``name``: struct(ts, *carry) of the sample before each one, NULL for the first of a key.
+    """Add ``prev_<ts>`` and ``prev_<column>`` from the sample before each one, NULL for the first of a key.
 
     ``(keys, ts)`` must be unique. The window runs per key and time slice, so one busy key is many small groups;
     the last sample of every slice is handed to the next slice of its key that has any.
     """
-    keys = list(keys)
-    sample = F.struct(F.col(ts), *[F.col(c) for c in carry])
+    keys, columns = list(keys), [ts, *carry]
     sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds))
     # Column by column, so that numbers and times are aggregated by hash.
     last = sliced.groupBy(*keys, "_slice").agg(F.max(ts).alias(ts), *[F.max_by(c, ts).alias(c) for c in carry])
-    handed = last.withColumn(
-        "_carry", F.lag(sample).over(Window.partitionBy(*keys).orderBy("_slice"))
-    ).filter(F.col("_carry").isNotNull())
-    halo = handed.select(
-        *keys, "_slice", F.col("_carry")[ts].alias(ts), *[F.col("_carry")[c].alias(c) for c in carry],
-        F.lit(True).alias("_halo"),
-    )
+    slices = Window.partitionBy(*keys).orderBy("_slice")
+    halo = last.select(
+        *keys, "_slice", *[F.lag(c).over(slices).alias(c) for c in columns], F.lit(True).alias("_halo")
+    ).filter(F.col(ts).isNotNull())
     both = sliced.withColumn("_halo", F.lit(False)).unionByName(halo, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_slice").orderBy(ts)
-    return both.withColumn(name, F.lag(sample).over(w)).filter(~F.col("_halo")).drop("_halo", "_slice")
+    before = {f"prev_{c}": F.lag(c).over(w) for c in columns}
+    return both.withColumns(before).filter(~F.col("_halo")).drop("_halo", "_slice")
 
 
 def carry_values(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], slice_seconds: int = 86_400) -> DataFrame:

@@ -40,8 +40,8 @@ def gap_islands(samples: DataFrame, keys: Sequence[str], slot: str, step_seconds
     """
     seen = observed_slots(samples, keys, slot)
     near = previous_sample(seen, keys, slot, [])
-    between = near.filter(F.col("prev").isNotNull()).select(
-        *keys, (_epoch(F.col("prev")[slot]) + step_seconds).alias("gap_start"), (_epoch(F.col(slot)) - step_seconds).alias("gap_end"),
+    between = near.filter(F.col(f"prev_{slot}").isNotNull()).select(
+        *keys, (_epoch(F.col(f"prev_{slot}")) + step_seconds).alias("gap_start"), (_epoch(F.col(slot)) - step_seconds).alias("gap_end"),
     )
     if bounds is not None:
         ends = samples.groupBy(*keys).agg(F.min(_epoch(F.col(slot))).alias("_lo"), F.max(_epoch(F.col(slot))).alias("_hi"))

@@ -16,7 +16,7 @@ NO_RESULT = "NO_RESULT"
 def with_step_before(
     samples: DataFrame, keys: Sequence[str], slot: str, carry: Sequence[str], step_seconds: int, slice_steps: int = 1_440,
 ) -> DataFrame:
-    """Add ``before``: struct(slot, *carry) of the sample exactly one step earlier, NULL when it is absent.
+    """Add ``before_<column>`` from the sample exactly one step earlier, and ``paired``, whether there is one.
 
     ``(keys, slot)`` must be unique. One shuffle: a sample goes to the time slice of its key that holds it, and
     also to the next slice when its successor falls there. A group has at most ``slice_steps`` + 1 rows.
@@ -24,14 +24,15 @@ def with_step_before(
     keys, length = list(keys), step_seconds * slice_steps
     at = F.unix_timestamp(F.col(slot))
     own, nxt = F.floor(at / length).cast("long"), F.floor((at + step_seconds) / length).cast("long")
-    placed = samples.withColumns({"_own": own}).withColumn("_slice", F.explode(F.sequence(own, nxt)))
+    slices = F.when(own == nxt, F.array(own)).otherwise(F.array(own, nxt))
     w = Window.partitionBy(*keys, "_slice").orderBy(slot)
-    prev = F.lag(F.struct(F.col(slot), *[F.col(c) for c in carry])).over(w)
-    near = F.unix_timestamp(F.col("_prev")[slot]) == at - step_seconds
-    return (
-        placed.withColumn("_prev", prev).filter(F.col("_own") == F.col("_slice"))
-        .withColumn("before", F.when(near, F.col("_prev"))).drop("_own", "_slice", "_prev")
-    )
+    before = {f"before_{c}": F.lag(c).over(w) for c in carry}
+    placed = samples.withColumn("_own", own).withColumn("_slice", F.explode(slices))
+    found = placed.withColumns({"_last": F.lag(slot).over(w), **before}).filter(F.col("_own") == F.col("_slice"))
+    paired = F.coalesce(F.unix_timestamp("_last") == at - step_seconds, F.lit(False))
+    return found.withColumn("paired", paired).withColumns(
+        {c: F.when(F.col("paired"), F.col(c)) for c in before}
+    ).drop("_own", "_slice", "_last")
 
 
 def counter_rate(
@@ -47,12 +48,12 @@ def counter_rate(
     """
     if mode not in ("abs", "reset_aware"):
         raise ValueError("mode is 'abs' or 'reset_aware'")
-    paired = with_step_before(samples, keys, slot, [written, *counters], step_seconds).filter(F.col("before").isNotNull())
-    seconds = F.unix_timestamp(F.col(written)) - F.unix_timestamp(F.col("before")[written])
+    paired = with_step_before(samples, keys, slot, [written, *counters], step_seconds).filter("paired")
+    seconds = F.unix_timestamp(F.col(written)) - F.unix_timestamp(F.col(f"before_{written}"))
     out: dict[str, Column] = {}
     any_usable = F.lit(False)
     for c in counters:
-        now, before = F.col(c), F.col("before")[c]
+        now, before = F.col(c), F.col(f"before_{c}")
         value = S.rate(now, before, seconds)
         usable = ((now != 0) & (before != 0)) if drop_zero else F.lit(True)
         if mode == "reset_aware":

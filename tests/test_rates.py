@@ -41,9 +41,9 @@ def test_counter_rate_reset_aware(spark, rows):
 
 def test_rate_does_not_depend_on_slicing(spark, rows):
     s = samples(spark)
-    plain = rows(rates.with_step_before(s, KEYS, "slot", ["slow"], 60).select(*KEYS, "slot", "before"))
+    plain = rows(rates.with_step_before(s, KEYS, "slot", ["slow"], 60).select(*KEYS, "slot", "paired", "before_slow"))
     for steps in (1, 2, 3):
-        assert rows(rates.with_step_before(s.repartition(7), KEYS, "slot", ["slow"], 60, steps).select(*KEYS, "slot", "before")) == plain
+        assert rows(rates.with_step_before(s.repartition(7), KEYS, "slot", ["slow"], 60, steps).select(*KEYS, "slot", "paired", "before_slow")) == plain
 
 
 def test_no_result_markers(spark, rows):

@@ -49,7 +49,7 @@ def series(n=300):
 def test_previous_sample(spark, slice_seconds):
     data = series()
     df = spark.createDataFrame(data, "k string, ts timestamp_ntz, v long")
-    got = {(r["k"], r["v"]): (r["prev"]["v"] if r["prev"] else None) for r in skew.previous_sample(df, ["k"], "ts", ["v"], slice_seconds).collect()}
+    got = {(r["k"], r["v"]): r["prev_v"] for r in skew.previous_sample(df, ["k"], "ts", ["v"], slice_seconds).collect()}
     want, last = {}, {}
     for k, _, v in data:
         want[(k, v)] = last.get(k)
