@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetloom.catalogue.registry import query, table
-from fleetloom.operators import alarms, config, digest, gaps, rates
+from fleetloom.operators import alarms, digest, gaps, rates
 from fleetloom.operators.tables import pivot_whitelist, threshold_breach, unpivot_metrics
 from fleetloom.plans.alarm_path import rate_alarms
 

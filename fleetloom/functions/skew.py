@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,6 +29,13 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, min_rows:
     return counts.filter((F.col("_n") > min_rows) & (F.col("_n") * share > total)).select(*on)
 
 
+def mark_hot(df: DataFrame, keys: Sequence[str], share: int, min_rows: int) -> DataFrame:
+    """Add ``_hot``: true for the rows of hot keys, else NULL. The hot keys, at most ``share``, are broadcast."""
+    hot = hot_keys(df, keys, share, min_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
+    return df.join(F.broadcast(hot), same, "left").drop(*[f"_h_{k}" for k in keys])
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -116,24 +123,28 @@ def carry_values(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[s
 
 
 def ordinal_in_key(
-    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], slice_seconds: int = 60, name: str = "ordinal"
+    df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], slice_seconds: int = 60, name: str = "ordinal",
+    hot_share: int = 100_000, hot_min_rows: int = 100_000,
 ) -> DataFrame:
     """Add ``name``: 1-based position of each row within its key, by ``ts`` then ``ties``.
 
-    Rows are ranked inside (key, time slice). A running total of the slice counts gives each slice its start, which
-    joins the slice as a marker row in front of its rows.
+    Ordinary keys are ranked whole. Keys with more than ``hot_min_rows`` rows and more than 1/``hot_share`` of all are
+    ranked inside time slices; a running total of the slice counts gives each slice its start, which joins the slice
+    as a marker row in front of its rows.
     """
     keys = list(keys)
-    sliced = df.withColumn("_slice", time_slice(F.col(ts), slice_seconds))
+    # Rows without a time come first, as they would in one sorted group.
+    number = F.when(F.col("_hot"), F.coalesce(time_slice(F.col(ts), slice_seconds), F.lit(-(1 << 40))))
+    sliced = mark_hot(df, keys, hot_share, hot_min_rows).withColumn("_slice", number).drop("_hot")
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
+        sliced.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
         .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
     both = sliced.unionByName(starts, allowMissingColumns=True)
     w = Window.partitionBy(*keys, "_slice").orderBy(F.col("_start").isNull(), ts, *ties)
-    # The marker is row 1, so the first real row is row 2.
-    place = F.first("_start", ignorenulls=True).over(w) + F.row_number().over(w) - 1
+    # In a slice the marker is row 1, so its first real row is row 2.
+    place = F.row_number().over(w) + F.coalesce(F.first("_start", ignorenulls=True).over(w) - 1, F.lit(0))
     return both.withColumn(name, place.cast("long")).filter(F.col("_start").isNull()).drop("_slice", "_start")
 
 

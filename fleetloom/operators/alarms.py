@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetloom.functions.skew import hot_keys, ordinal_in_key
+from fleetloom.functions.skew import mark_hot, ordinal_in_key
 from fleetloom.session import ship_package
 
 # A time before all others: nothing holds back the first alarm.
@@ -91,11 +89,8 @@ def converge_exact(
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # Alarms at the same moment decide the same way.
     moments = alarms.select(*keys, us.alias("_us")).filter(F.col("_us").isNotNull()).distinct()
-    # At most `hot_share` rows by construction, so broadcasting them is bounded.
-    hot = hot_keys(moments, keys, hot_share, hot_min_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     number = F.when(F.col("_hot"), F.floor(F.col("_us") / length)).cast("long")
-    moments = moments.join(F.broadcast(hot), same, "left").select(*keys, "_us", number.alias("_slice"))
+    moments = mark_hot(moments, keys, hot_share, hot_min_rows).select(*keys, "_us", number.alias("_slice"))
     lists = moments.filter(F.col("_slice").isNotNull()).groupBy(*keys, "_slice").agg(F.array_sort(F.collect_list("_us")).alias("_times"))
     key_fields = [alarms.schema[k] for k in keys]
     slice_field = T.StructField("_slice", T.LongType())

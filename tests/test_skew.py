@@ -57,14 +57,15 @@ def test_previous_sample(spark, slice_seconds):
     assert got == want
 
 
-@pytest.mark.parametrize("slice_seconds", [60, 7_200, 10**8])
-def test_ordinal_in_key(spark, slice_seconds):
-    data = series() + [("busy", dt.datetime(2024, 1, 1), i) for i in (-3, -2, -1)] + [(None, dt.datetime(2024, 1, 2), -9)]
+@pytest.mark.parametrize("slice_seconds,hot_rows", [(60, 10**6), (60, 0), (7_200, 0), (10**8, 0)])
+def test_ordinal_in_key(spark, slice_seconds, hot_rows):
+    data = series() + [("busy", dt.datetime(2024, 1, 1), i) for i in (-3, -2, -1)] + [(None, dt.datetime(2024, 1, 2), -9), ("busy", None, -20)]
     df = spark.createDataFrame(data, "k string, ts timestamp_ntz, v long")
-    got = {(r["k"], r["v"]): r["ordinal"] for r in skew.ordinal_in_key(df, ["k"], "ts", ["v"], slice_seconds).collect()}
+    got = {(r["k"], r["v"]): r["ordinal"] for r in 
+           skew.ordinal_in_key(df, ["k"], "ts", ["v"], slice_seconds, hot_share=3, hot_min_rows=hot_rows).collect()}
     want = {}
     for key in {d[0] for d in data}:
-        mine = sorted((d for d in data if d[0] == key), key=lambda d: (d[1], d[2]))
+        mine = sorted((d for d in data if d[0] == key), key=lambda d: (d[1] or dt.datetime.min, d[2]))
         want.update({(key, d[2]): i + 1 for i, d in enumerate(mine)})
     assert got == want
 
