@@ -13,9 +13,7 @@ from fleetloom.operators.tables import derive_and_require
 
 def fingerprint(text: Column) -> Column:
     """Lower case, quoted text and digit runs replaced by ``?``, white space squeezed. The rules are our own."""
-    t = F.lower(text)
-    t = F.regexp_replace(t, "'[^']*'", "?")
-    t = F.regexp_replace(t, "[0-9]+", "?")
+    t = F.regexp_replace(F.lower(text), "'[^']*'|[0-9]+", "?")
     return F.trim(F.regexp_replace(t, "[ \\t\\r\\n]+", " "))
 
 

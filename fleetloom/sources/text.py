@@ -11,13 +11,16 @@ from fleetloom.functions import scalars as S
 
 # The layouts of the files that are read.
 KEY_VALUE = r"^(\w+)\s*=\s*(.*)$"
-MASTER_SECTION = r"SHOW MASTER STATUS:\s*\n\s*Log: *([^\n]*?)\s*\n\s*Pos: *([0-9]+)"
-SLAVE_SECTION = r"SHOW SLAVE STATUS:\s*\n\s*Host: *([^\n]*?)\s*\n\s*Log: *([^\n]*?)\s*\n\s*Pos: *([0-9]+)"
+MASTER_SECTION = "SHOW MASTER STATUS:"
+SLAVE_SECTION = "SHOW SLAVE STATUS:"
 POSITION = r"filename '([^']*)', position '([0-9]+)'"
 ANSI = "\\x1B\\[[0-9;]*m"
-LINE_WITH_FILE = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) ([^\]]+)\]:(.*)$"
-LINE_PLAIN = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] (.*)$"
-LINE_FULL = r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)\] \[([^\]]+)\] \[\d+-[^\]]*\] \[([A-Z]+)\] \[(.*)\]$"
+# Time, then ` file]:message`, `] [file] [process] [level] [message]` or `] message`.
+LOG_LINE = (
+    r"^\[(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d)"
+    r"(?: ([^\]\x01]+)\]:(.*)|\] \[([^\]\x01]+)\] \[\d+-[^\]]*\] \[([A-Z]+)\] \[(.*)\]|\] (.*))$"
+)
+MARK = "\x01"
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
@@ -48,13 +51,18 @@ def parse_section_metadata(
     dumped server itself with the position of its master section.
     """
     t = F.col(text)
+
+    def after(mark: str) -> Column:
+        return F.when(t.contains(mark), F.substring_index(t, mark, -1))
+
     slave = F.coalesce((io_running == "Yes") & (sql_running == "Yes"), F.lit(False))
+    section = F.when(slave, after(SLAVE_SECTION)).otherwise(F.substring_index(after(MASTER_SECTION), SLAVE_SECTION, 1))
     return files.select(
         *keep,
         F.when(slave, upstream_host).otherwise(source_host).alias("master_host"),
         F.when(slave, upstream_port).otherwise(source_port).cast("int").alias("master_port"),
-        F.when(slave, _found(t, SLAVE_SECTION, 2)).otherwise(_found(t, MASTER_SECTION, 1)).alias("master_log_file"),
-        F.when(slave, _found(t, SLAVE_SECTION, 3)).otherwise(_found(t, MASTER_SECTION, 2)).try_cast("long").alias("master_log_pos"),
+        _found(section, r"Log: *([^\n]*?)\s*\n", 1).alias("master_log_file"),
+        _found(section, r"Pos: *([0-9]+)", 1).try_cast("long").alias("master_log_pos"),
         S.lenient_time(F.regexp_extract(t, r"Started dump at: ([^\n]*)", 1)).alias("start_time"),
         S.lenient_time(F.regexp_extract(t, r"Finished dump at: ([^\n]*)", 1)).alias("end_time"),
     )
@@ -78,18 +86,16 @@ def parse_info_metadata(files: DataFrame, text: str, source_host: Column, source
 def scan_log_lines(lines: DataFrame, text: str = "value") -> DataFrame:
     """Log table from ``[time file]:msg``, ``[time] msg`` and the full logging layout; colours are stripped.
 
-    A line of another shape has only ``rejected`` set.
+    A line of another shape has only ``rejected`` set. Each line is matched once: the match is rewritten to its fields
+    with a mark in front of each, and then split.
     """
-    raw = F.regexp_replace(F.col(text), ANSI, "")
-    named = lines.withColumn("_raw", raw)
-    r = F.col("_raw")
-    ts = S.lenient_time(F.coalesce(_found(r, LINE_FULL, 1), _found(r, LINE_WITH_FILE, 1), _found(r, LINE_PLAIN, 1)))
-    message = (
-        F.when(r.rlike(LINE_FULL), F.regexp_extract(r, LINE_FULL, 4)).when(r.rlike(LINE_WITH_FILE), F.regexp_extract(r, LINE_WITH_FILE, 3))
-        .when(r.rlike(LINE_PLAIN), F.regexp_extract(r, LINE_PLAIN, 2))
-    )
-    return named.select(
-        *[c for c in lines.columns if c != text], ts.alias("ts"),
-        F.coalesce(_found(r, LINE_FULL, 2), _found(r, LINE_WITH_FILE, 2)).alias("file"), _found(r, LINE_FULL, 3).alias("level"),
-        F.when(ts.isNotNull(), message).alias("message"), F.when(ts.isNull(), r).alias("rejected"),
+    others = [c for c in lines.columns if c != text]
+    raw = lines.select(*others, F.regexp_replace(F.col(text), ANSI, "").alias("_raw"))
+    fields = F.split(F.regexp_replace("_raw", LOG_LINE, f"{MARK}$1{MARK}$2$4{MARK}$5{MARK}$3$6$7"), MARK, 5)
+    part = lambda i: F.try_element_at(F.col("_f"), F.lit(i))
+    split = raw.withColumn("_f", F.when(~F.col("_raw").startswith(MARK), fields)).withColumn("ts", S.lenient_time(part(2)))
+    known = F.col("ts").isNotNull()
+    return split.select(
+        *others, "ts", F.when(known, F.nullif(part(3), F.lit(""))).alias("file"), F.when(known, F.nullif(part(4), F.lit(""))).alias("level"),
+        F.when(known, part(5)).alias("message"), F.when(~known, F.col("_raw")).alias("rejected"),
     )
