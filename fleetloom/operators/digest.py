@@ -13,7 +13,8 @@ from fleetloom.operators.tables import derive_and_require
 
 def fingerprint(text: Column) -> Column:
     """Lower case, quoted text and digit runs replaced by ``?``, white space squeezed. The rules are our own."""
-    t = F.regexp_replace(F.lower(text), "'[^']*'|[0-9]+", "?")
+    # '...' or a run of digits; begun with a character class, which is searched for faster than an alternative.
+    t = F.regexp_replace(F.lower(text), "['0-9](?:(?<=[0-9])[0-9]*|(?<=')[^']*')", "?")
     return F.trim(F.regexp_replace(t, "[ \\t\\r\\n]+", " "))
 
 

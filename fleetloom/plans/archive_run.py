@@ -23,7 +23,7 @@ def run_archive(
     The sides are the new folders ``side=archived`` and ``side=kept``: swap them in once the task says Succ.
     """
     split = archive_split(df, time_col, today, days, keys, chunk_rows, task_id)
-    split.sided.write.mode("overwrite").partitionBy("side").parquet(f"{out}/rows")
+    split.sided.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("side").parquet(f"{out}/rows")
     split.chunks.write.mode("overwrite").parquet(f"{out}/audit")
     audit = df.sparkSession.read.parquet(f"{out}/audit")
     task = status_rollup(audit, ["task_id"], "exec_status", "chunk_rows")
@@ -41,7 +41,8 @@ def archive_partitioned(spark: SparkSession, table: str, column: str, today: dt.
         raise ValueError(f"{table} is not partitioned by {column}")
     if backup:
         old = older_than(spark.table(table), column, today, days)
-        old.write.mode("overwrite").partitionBy(column).parquet(f"{out}/archived")
+        # Dynamic: partitions archived by earlier runs stay.
+        old.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(f"{out}/archived")
     return retire_partitions(spark, table, column, today - dt.timedelta(days=days))
 
 

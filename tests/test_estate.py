@@ -156,3 +156,11 @@ def test_estate_sync(spark, rows):
                                  "type string, address string, source_host string, source_port int, state string, weekday int")
     assert rows(sync_backup_info(info, inst, "net", {"state": "online", "weekday": 9})) == [
         ("A", "net", "b", 1, "paused", 3), ("B", "old", "x", 9, "offline", 3), ("C", "net", "s", 2, "online", 9), ("D", "old", "x", 9, "offline", 3)]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("SELECT 12, 'a1b' FROM t7", "select ?, ? from t?"), ("it's 5 o'clock", "it?clock"), ("don't 12", "don't ?"), ("''", "?"), ("'1'2'3'", "???"),
+    ("  a \t\n b  ", "a b"), ("", ""), ("007", "?"),
+])
+def test_fingerprint(spark, text, want):
+    assert spark.range(1).select(digest.fingerprint(F.lit(text))).first()[0] == want

@@ -104,6 +104,8 @@ def test_export_manifest_and_restore(spark, tmp_path, rows):
     assert rows(manifest.groupBy("schema").agg(F.sum("file_rows"))) == [("big", 100), ("small", 3)]
     only = tables.export_chunked(df, "schema", str(tmp_path / "o"), 10, ["small"])
     assert rows(only.select("schema").distinct()) == [("small",)]
+    again = tables.export_chunked(df, "schema", str(tmp_path / "o"), 10, ["big"])
+    assert rows(again.select("schema").distinct()) == [("big",)]
     led = spark.createDataFrame([("i", dt.date(2024, 1, 1), str(tmp_path / "e"), "Succ"), ("i", dt.date(2024, 1, 2), str(tmp_path / "o"), "Fail")],
                                 "instance string, date date, path string, status string")
     usable = F.col("status") == "Succ"
