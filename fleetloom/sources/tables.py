@@ -85,7 +85,8 @@ def export_chunked(df: DataFrame, schema: str, path: str, max_rows: int, only: S
     """
     rows = df.filter(F.col(schema).isin(list(only))) if only else df
     # Static: an export replaces the whole folder, also the schemas it does not select.
-    rows.hint("rebalance", F.col(schema)).write.mode("overwrite").option("partitionOverwriteMode", "static").option("maxRecordsPerFile", max_rows).partitionBy(schema).parquet(path)
+    writer = rows.hint("rebalance", F.col(schema)).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer.option("maxRecordsPerFile", max_rows).partitionBy(schema).parquet(path)
     written = df.sparkSession.read.parquet(path).select(schema, F.col("_metadata.file_path").alias("file"))
     return written.groupBy(schema, "file").agg(F.count("*").alias("file_rows"))
 
