@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetloom.llm import mixing, naming, warc
+from fleetloom.llm import fmindex, mixing, naming, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -86,6 +87,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"), min_payload=0)
 
 
+BENCH_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(len(w), 13) AS k, array_to_string(w[i:i + 12], ' ') AS s
+  FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+pos AS (
+  SELECT rid, i, k, array_to_string(w[i:i + k - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hits AS (SELECT rid, i, k, item FROM pos JOIN win USING (k, s)),
+spread AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM hits) GROUP BY rid),
+named AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN spread USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
+@query("op9_decontaminate", BENCH_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 13 words of all benchmark items in all documents."""
+    found = fmindex.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.size("items").cast("long").alias("n_items")
+    return found.select("doc_id", "n_words", "n_hit", items, F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 NAMING_SQL = f"""
 WITH t AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents),
 g AS (SELECT *, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
