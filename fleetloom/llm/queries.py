@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import fmindex, mixing, naming, warc
+from fleetloom.llm import fmindex, mixing, naming, quality, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -69,6 +69,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop("source")
 
 
+@query("op7_quality_fourier")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; no SQL, held-out accuracy is tested."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 h AS (SELECT page_id, octet_length(body)::BIGINT AS n, sha1(body) AS x, min(page_id) OVER (PARTITION BY body) AS first FROM p)
