@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import fmindex, mixing, naming, quality, warc
+from fleetloom.llm import columns, fmindex, mixing, naming, quality, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op4_column_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes that all documents repeat; no SQL, tested against brute force."""
+    return columns.remove_repeats(table(spark, sf_dir, "documents"), width=200).drop("spans", "kept")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size, row_number() OVER () AS rid
