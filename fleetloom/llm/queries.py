@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import columns, fmindex, mixing, naming, quality, warc
+from fleetloom.llm import columns, fmindex, mixing, naming, quality, shingles, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -75,6 +75,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.drop("source")
 
 
+@query("op6_order_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents; no SQL, tested against all pairs."""
+    return shingles.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
 @query("op7_quality_fourier")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; no SQL, held-out accuracy is tested."""
