@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import columns, fmindex, mixing, naming, quality, shingles, warc
+from fleetloom.llm import columns, fmindex, lines, mixing, naming, quality, shingles, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_fuzzy_lines")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuzzy repeated lines of all documents; no SQL, tested against all pairs of lines."""
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_column_repeats")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that all documents repeat; no SQL, tested against brute force."""
