@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import columns, fmindex, lines, mixing, naming, quality, shingles, warc
+from fleetloom.llm import columns, fmindex, lines, mixing, mixlm, naming, quality, shingles, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -32,6 +32,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_context_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed-context and unigram scores of all documents; no SQL, tested against a plain count and on held-out texts."""
+    return mixlm.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op4_column_repeats")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that all documents repeat; no SQL, tested against brute force."""
