@@ -52,6 +52,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def made_since(known: list[str] | None = None) -> list[str]:
+    """Written tables that still exist and are not ``known``."""
+    return [p for p in _MADE if p not in (known or ())]
+
+
+def remove_made(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if _MADE.pop(path, None) is not None:
+            _remove(spark, path)
+
+
 @atexit.register
 def _at_end() -> None:
     # Written intermediates belong to the session that made them and end with it.
