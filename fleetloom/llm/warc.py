@@ -2,7 +2,7 @@
 
 A record whose block is longer than ``segment_chars`` is cut into a first record and continuation records that name it
 (WARC-Segment-Origin-ID) and count up (WARC-Segment-Number); the last one gives WARC-Segment-Total-Length. A response is an
-HTTP message whose payload is framed in chunks. Archives are plain text files that Spark writes and reads; every file holds
+HTTP message whose payload is framed in chunks. Archives are gzip files that Spark writes and reads; every file holds
 at most ``records_per_file`` records of bounded length, so a reading task holds one bounded file. The segments of a record may
 lie in different files: they meet in a shuffle by origin, and no group is larger than one record.
 """
@@ -10,6 +10,7 @@ lie in different files: they meet in a shuffle by origin, and no group is larger
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -99,7 +100,7 @@ def write_archives(
         path = work_folder(spark, "archives")
         _MADE[path] = spark
     # Two line ends close a record, as the format asks; Spark's text writer sets them.
-    cut.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).text(path)
+    cut.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
     return path
 
 
@@ -131,7 +132,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows = []
-            for h, block in split_records(content.as_py()):
+            data = content.as_py()
+            for h, block in split_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                 own = h.get("warc-record-id")
                 rows.append({
                     "origin": h.get("warc-segment-origin-id", own), "number": int(h.get("warc-segment-number", 1)), "type": h.get("warc-type"),
@@ -182,15 +184,15 @@ def read_archives(spark, path: str) -> DataFrame:
     """
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).select("content")
-    parts = files.mapInArrow(_parse, "origin string, number int, type string, page_id string, uri string, digest string, refers string, total long, block binary").distinct()
-    single = F.col("k") == 1
+    parts = files.mapInArrow(_parse, "origin string, number int, type string, page_id string, uri string, digest string, refers string, total long, block binary")
+    k = F.size("parts")
     grouped = parts.groupBy("origin").agg(
-        F.array_sort(F.collect_list(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"), F.count("*").alias("k"),
+        F.array_sort(F.collect_set(F.struct("number", "block"))).alias("parts"), F.max("total").alias("total"),
         *[F.max(F.when(F.col("number") == 1, F.col(c))).alias(c) for c in ("type", "page_id", "uri", "digest", "refers")],
     )
-    whole = (F.element_at("parts", -1)["number"] == F.col("k")) & (F.col("parts")[0]["number"] == 1)
+    whole = (F.element_at("parts", -1)["number"] == k) & (F.col("parts")[0]["number"] == 1)
     joined = grouped.withColumn("block", F.expr("array_join(transform(parts, p -> hex(p.block)), '')"))
-    joined = joined.withColumn("block", F.unhex("block")).withColumn("whole", whole & (F.when(single, F.col("total").isNull()).otherwise(F.octet_length("block") == F.col("total"))))
+    joined = joined.withColumn("block", F.unhex("block")).withColumn("whole", whole & (F.when(k == 1, F.col("total").isNull()).otherwise(F.octet_length("block") == F.col("total"))))
     return joined.select("origin", "type", "page_id", "uri", "digest", "refers", "whole", "block").mapInArrow(
         _decode, "record_id string, type string, page_id string, uri string, digest string, refers string, whole boolean, payload binary, n long, found string",
     )
