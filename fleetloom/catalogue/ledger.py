@@ -44,6 +44,19 @@ def tiered_retention(spark, d):
     )
 
 
+@query("tiered_retention_null_group", """
+WITH pop AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 50 END AS grp, o_orderkey, o_orderdate FROM orders),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY o_orderdate, o_orderkey) AS oldest,
+                     row_number() OVER (PARTITION BY grp ORDER BY o_orderdate DESC, o_orderkey DESC) AS newest FROM pop)
+SELECT grp, o_orderkey, oldest = 1 OR newest = 1 AS kept FROM ranked
+""")
+def tiered_retention_null_group(spark, d):
+    """Orders without a group keep their oldest and newest row as any other group does."""
+    group = F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey") % 50).alias("grp")
+    rows = table(spark, d, "orders").select(group, "o_orderkey", "o_orderdate")
+    return retention.tiered_retention(rows, ["grp"], "o_orderdate", "o_orderkey", TODAY, None).select("grp", "o_orderkey", "kept")
+
+
 LEDGER = """
 led AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderstatus WHEN 'F' THEN 'Succ' WHEN 'P' THEN 'Fail' ELSE 'Backing' END AS backup_status,
                CASE WHEN o_orderkey % 11 = 0 THEN 'done' ELSE 'todo' END AS clear_status FROM orders)
@@ -155,7 +168,7 @@ WITH i AS (SELECT c_custkey, c_name, CASE c_mktsegment WHEN 'BUILDING' THEN 'onl
 due AS (SELECT c_name, upper(c_name || '-20010801-dump') AS task_id FROM i
         WHERE lower(mode_state) = 'online' AND (weekday = 9 OR (weekday BETWEEN 0 AND 6 AND weekday <= 3))),
 led AS (SELECT upper(c_name || '-20010801-dump') AS task_id, arg_max(o_orderstatus, o_orderkey) AS s
-        FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 2 = 0 GROUP BY 1)
+        FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)
 SELECT due.c_name AS type, 'dump' AS mode, task_id,
        CASE WHEN s IS NULL THEN 'start' WHEN s = 'P' THEN 'check' WHEN s = 'F' THEN 'none' ELSE 'retry' END AS action
 FROM due LEFT JOIN led USING (task_id)
@@ -168,7 +181,7 @@ def due_tasks(spark, d):
         F.when(F.col("c_acctbal") > 0, "online").otherwise("offline").alias("state"),
     )
     status = F.when(F.col("o_orderstatus") == "P", "Backing").when(F.col("o_orderstatus") == "F", "Succ").otherwise("Fail")
-    newest = table(spark, d, "orders").filter(F.col("o_orderkey") % 2 == 0).groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    newest = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max_by(F.struct(status.alias("backup_status"), F.col("o_orderdate").alias("start_time")), "o_orderkey").alias("r")
     )
     led = newest.join(cust.select("c_custkey", "c_name"), "c_custkey").select(

@@ -34,7 +34,7 @@ def query(name, sql):
 
 
 def event_stream(spark, d):
-    return minutes.file_stream(spark, d, table(spark, d, "events").schema, "events.parquet")
+    return minutes.table_stream(spark, f"{d}/events.parquet", table(spark, d, "events").schema, 64)
 
 
 def arrivals(spark, df, ts, label, parts=3):
@@ -117,6 +117,27 @@ def stream_rate_alarm(spark, d):
     )
 
 
+@query("stream_rate_alarm_late", ALARMS)
+def stream_rate_alarm_late(spark, d):
+    """The same alarms when samples arrive in any order, a third of them twice, and none is lost or raised again."""
+    samples = hourly(spark, d)
+    source, out, state, work = (work_folder(spark, x) for x in ("mixed", "late-alarms", "late-state", "late-checkpoint"))
+    limit = F.when(F.col("event_type") == "error", 500.0).otherwise(1000.0)
+    limits = lambda session: table(session, d, "events").select("event_type").distinct().withColumn("threshold", limit)
+    each = minutes.stream_rate_alarm(
+        out, state, limits, keys=["event_type"], slot="slot", written="written", counter="bytes", threshold="threshold", step_seconds=3600,
+        alarm_id="110", end=F.col("slot"), late_seconds=10 * 366 * 86_400,
+    )
+    turn = F.pmod(F.xxhash64("event_type", "slot"), F.lit(3))
+    for i in range(3):
+        samples.filter((turn == i) | (turn == (i + 1) % 3) & (F.pmod(F.xxhash64("slot"), F.lit(3)) == 0)).write.mode("append").parquet(source)
+        minutes.run_batches(minutes.file_stream(spark, source, samples.schema), each, work)
+    epoch = lambda c: F.unix_timestamp(F.col(c)).alias(c)
+    return spark.read.option("basePath", out).parquet(out).select(
+        "event_type", epoch("slot"), "bytes_rate", "threshold", "alarm_id", "content", epoch("range_begin"), epoch("range_end")
+    )
+
+
 @query("stream_converge", """
 WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) AS us FROM events WHERE event_type = 'error'),
 nxt AS (SELECT a.user_id, a.us, min(b.us) AS us_next FROM e a JOIN e b ON a.user_id = b.user_id AND b.us >= a.us + 86400000000

@@ -7,10 +7,13 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from fleetloom.catalogue import registry
 from fleetloom.catalogue.registry import query, table
+from fleetloom.functions.skew import ordinal_in_key
 from fleetloom.operators import alarms, digest, gaps, rates
 from fleetloom.operators.tables import pivot_whitelist, threshold_breach, unpivot_metrics
 from fleetloom.plans.alarm_path import rate_alarms
+from fleetloom.whitelists import RATE_GROUPS
 
 EVENT_TYPES = ["click", "view", "error", "signup", "purchase"]
 
@@ -102,6 +105,26 @@ def throughput(spark, d):
     return out.select("grp", epoch("slot"), "reads", "transactions")
 
 
+@query("throughput_named", f"""
+WITH {THROUGHPUT},
+r AS (SELECT a.grp, a.slot, CAST(nullif(a.written - b.written, 0) AS DOUBLE) AS sec, a.v - b.v AS v, a.c - b.c AS c, a.e - b.e AS e
+      FROM s a JOIN s b ON a.grp = b.grp AND b.slot = a.slot - 3600)
+SELECT grp, slot, round(abs((v + c + e) / sec)) AS statements, round(abs(v / sec)) AS reads, round(abs(c / sec)) + round(abs(e / sec)) AS transactions FROM r
+""")
+def throughput_named(spark, d):
+    """The named rates of the status collector: statements, reads, and transactions as commits and rollbacks."""
+    ev = table(spark, d, "events").withColumn("grp", F.col("user_id") % 10)
+    slot = F.date_trunc("hour", "ts").cast("timestamp").alias("slot")
+    n = lambda *t: F.count_if(F.col("event_type").isin(*t)) * 1_000_000
+    per = ev.groupBy("grp", slot).agg(
+        F.max(F.col("ts").cast("timestamp")).alias("written"), n("view", "click", "error").alias("queries"), n("view").alias("com_select"),
+        n("click").alias("com_commit"), n("error").alias("com_rollback"),
+    )
+    counters = ["queries", "com_select", "com_commit", "com_rollback"]
+    s = per.withColumns({c: F.sum(c).over(Window.partitionBy("grp").orderBy("slot")) for c in counters})
+    return rates.throughput(s, ["grp"], "slot", "written", RATE_GROUPS, 3600).select("grp", epoch("slot"), *RATE_GROUPS)
+
+
 ALARMS = f"""
 WITH {HOURLY},
 r AS (SELECT a.event_type, a.slot, round(abs((a.bytes - b.bytes) / CAST(a.written - b.written AS DOUBLE))) AS bytes_rate
@@ -234,6 +257,20 @@ def gap_islands(spark, d):
     return gaps.gap_islands(user_hours(spark, d), ["user_id"], "slot", 3600)
 
 
+@query("gap_islands_clipped", """
+WITH r AS (SELECT min(epoch_us(date_trunc('hour', ts))) // 1000000 + 86400 * 20 AS lo, min(epoch_us(date_trunc('hour', ts))) // 1000000 + 86400 * 40 AS hi FROM events),
+o AS (SELECT DISTINCT user_id, epoch_us(date_trunc('hour', ts)) // 1000000 AS slot FROM events),
+g AS (SELECT user_id, unnest(range(lo, hi + 1, 3600)) AS slot FROM (SELECT DISTINCT user_id FROM o), r),
+m AS (SELECT g.user_id, g.slot, g.slot - 3600 * row_number() OVER (PARTITION BY g.user_id ORDER BY g.slot) AS island
+      FROM g ANTI JOIN o ON o.user_id = g.user_id AND o.slot = g.slot)
+SELECT user_id, min(slot) AS gap_start, max(slot) AS gap_end, count(*) AS missing FROM m GROUP BY user_id, island
+""")
+def gap_islands_clipped(spark, d):
+    """Gaps inside a range that begins after the first samples and ends before the last."""
+    low = table(spark, d, "events").agg(F.min(F.unix_timestamp(F.date_trunc("hour", "ts").cast("timestamp")))).first()[0]
+    return gaps.gap_islands(user_hours(spark, d), ["user_id"], "slot", 3600, bounds=(low + 86_400 * 20, low + 86_400 * 40))
+
+
 @query("gap_alarm", """
 WITH o AS (SELECT DISTINCT user_id, epoch_us(date_trunc('hour', ts)) // 1000000 AS slot FROM events),
 n AS (SELECT user_id, slot, lead(slot) OVER (PARTITION BY user_id ORDER BY slot) AS nxt FROM o)
@@ -268,14 +305,13 @@ def overdue(spark, d):
 
 
 @query("overdue_expected", """
-WITH l AS (SELECT c_custkey AS o_custkey, (SELECT epoch_us(max(o_orderdate)) // 1000000 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P'
-                                           AND o_orderpriority = '2-HIGH') AS last_seen FROM customer)
+WITH l AS (SELECT c_custkey AS o_custkey, (SELECT epoch_us(max(o_orderdate)) // 1000000 FROM orders WHERE o_custkey = c_custkey) AS last_seen FROM customer)
 SELECT o_custkey, last_seen, 996624000 - last_seen AS late_seconds FROM l WHERE last_seen IS NULL OR 996624000 - last_seen >= 365 * 86400
 """)
 def overdue_expected(spark, d):
-    """Customers without a recent order of a kind, those without any included."""
+    """Customers without a recent order, those without any included."""
     now = F.lit("2001-08-01 00:00:00").cast("timestamp_ntz")
-    some = table(spark, d, "orders").filter((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "2-HIGH"))
+    some = table(spark, d, "orders")
     everyone = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"))
     late = gaps.overdue(some, ["o_custkey"], "o_orderdate", now, 365 * 86_400, everyone)
     return late.select("o_custkey", epoch("last_seen"), "late_seconds")
@@ -345,6 +381,19 @@ def converge_exact(spark, d):
     return alarms.converge_exact(errors(spark, d), ["user_id"], "ts", 86_400)
 
 
+@query("converge_exact_hot", registry.ORACLES["converge_exact"])
+def converge_exact_hot(spark, d):
+    """The same decisions with every key cut into slices."""
+    return alarms.converge_exact(errors(spark, d), ["user_id"], "ts", 86_400, hot_share=1_000_000, hot_min_rows=0)
+
+
+@query("converge_count_hot", registry.ORACLES["converge_count"])
+def converge_count_hot(spark, d):
+    """The same alarms with every key ranked slice by slice."""
+    numbered = ordinal_in_key(errors(spark, d), ["user_id"], "ts", ["event_id"], 86_400, hot_share=1_000_000, hot_min_rows=0)
+    return numbered.filter((F.col("ordinal") - 1) % 10 == 0).select("user_id", "event_id", "ordinal")
+
+
 @query("digest_rollup", """
 WITH f AS (SELECT trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '''[^'']*''', '?', 'g'), '[0-9]+', '?', 'g'),
                        '[ \\t\\r\\n]+', ' ', 'g')) AS fp, source, n_chars, doc_id, text FROM documents WHERE length(text) > 0)

@@ -12,26 +12,34 @@ from pyspark.sql import functions as F
 from fleetloom.session import pin, work_folder
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 1_000
 HOT_ROWS = 1_000_000
 SALTS = 64
+MOST_SALTS = 100_000
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. The count reads no columns and is added up map-side."""
-    return df.count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows and, written as JSON, at most ``max_bytes`` bytes.
+
+    The count reads no columns; bytes are measured only where it has passed. Both are added up map-side.
+    """
+    if df.count() > max_rows:
+        return False
+    size = df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))), F.lit(0))).first()[0]
+    return size <= max_bytes
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE, min_rows: int = HOT_ROWS) -> DataFrame:
     """Keys holding more than 1/``share`` of all rows and more than ``min_rows``: never more than ``share`` rows."""
     counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.filter((F.col("_n") > min_rows) & (F.col("_n") * share > total)).select(*on)
+    return counts.filter((F.col("_n") > min_rows) & (F.col("_n") * share > total)).select(*on, "_n")
 
 
 def mark_hot(df: DataFrame, keys: Sequence[str], share: int, min_rows: int) -> DataFrame:
     """Add ``_hot``: true for the rows of hot keys, else NULL. The hot keys, at most ``share``, are broadcast."""
-    hot = hot_keys(df, keys, share, min_rows).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    hot = pin(hot_keys(df, keys, share, min_rows)).select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys])
     return df.join(F.broadcast(hot), same, "left").drop(*[f"_h_{k}" for k in keys])
 
@@ -47,25 +55,29 @@ def lookup_join(
     max_broadcast_rows: int = BROADCAST_ROWS,
     hot_share: int = HOT_SHARE,
     hot_min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    salts: int | None = None,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Join ``facts`` to ``dim`` on ``on``; ``how`` is left, inner, left_semi or left_anti.
 
-    ``dim`` is counted first. Up to ``max_broadcast_rows`` it is broadcast and ``facts`` is not shuffled.
-    Beyond that both sides are shuffled, and the rows of hot keys are spread over ``salts`` groups by a hash of
-    ``spread`` (columns that identify a fact row) while the few hot ``dim`` rows are repeated for each group.
+    ``dim`` is measured first. Up to ``max_broadcast_rows`` and ``max_broadcast_bytes`` it is broadcast and ``facts`` is
+    not shuffled. Beyond that both sides are shuffled. Rows of a hot key are spread by a hash of ``spread`` (columns that
+    identify a fact row) over as many groups as it has ``hot_min_rows`` (or over ``salts``, if given), and the few hot
+    ``dim`` rows are repeated for each group. The hot keys and their counts are found once and pinned.
     A ``derived`` dim, the result of a larger computation, is pinned first so that counting it does not run it twice.
     """
     on = list(on)
     if derived:
         dim = pin(dim)
-    if is_small(dim, max_broadcast_rows):
+    if is_small(dim, max_broadcast_rows, max_broadcast_bytes):
         return facts.join(F.broadcast(dim), on, how)
-    hot = hot_keys(facts, on, hot_share, hot_min_rows).withColumn("_hot", F.lit(True))
+    groups = F.lit(salts) if salts else F.least(F.lit(MOST_SALTS), 1 + F.expr(f"_n div {max(1, hot_min_rows)}"))
+    hot = pin(hot_keys(facts, on, hot_share, hot_min_rows).select(*on, groups.cast("int").alias("_hot")))
     # Rows without a key match nothing and would otherwise gather in one task.
     no_key = reduce(or_, [F.col(k).isNull() for k in on])
-    salt = F.when(F.col("_hot") | no_key, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    spread_over = F.when(no_key, F.lit(MOST_SALTS)).otherwise(F.coalesce("_hot", F.lit(1)))
+    salt = F.pmod(F.xxhash64(*spread), spread_over).cast("int")
+    copies = F.sequence(F.lit(0), F.coalesce("_hot", F.lit(1)) - 1)
     # `hot` has at most `hot_share` rows by construction, so broadcasting it is bounded.
     left = facts.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
     right = dim.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")

@@ -73,19 +73,19 @@ def slice_entries(slices: list, hold: int) -> list[tuple[int, int]]:
 
 
 def converge_exact(
-    alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds: int, slice_seconds: int = 0,
+    alarms: DataFrame, keys: Sequence[str], ts: str, hold_seconds: int, slice_seconds: int | None = None,
     hot_share: int = 100_000, hot_min_rows: int = 100_000,
 ) -> DataFrame:
     """Alarms sent when each key stays silent for ``hold_seconds`` after every message: keys and ``sent_us``.
 
     A decision depends on the one before. The alarms of an ordinary key are walked in one go. A key with more than
-    ``hot_min_rows`` alarms and more than 1/``hot_share`` of all is cut into time slices of at least the hold: each slice
-    is summarised as 'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and
+    ``hot_min_rows`` alarms and more than 1/``hot_share`` of all is cut into time slices of ``slice_seconds`` (16 holds
+    unless given, never less than one), so that most starts of a slice lead to one end and merge: each slice is summarised as 'first sent -> last sent', the summaries of a key are walked in order (a few rows per slice), and
     every slice is then decided on its own from the state it is entered with. An alarm without a time is never sent.
     """
     ship_package(alarms.sparkSession)
     keys = list(keys)
-    hold, length = hold_seconds * 1_000_000, max(slice_seconds, hold_seconds) * 1_000_000
+    hold, length = hold_seconds * 1_000_000, max(16 * hold_seconds if slice_seconds is None else slice_seconds, hold_seconds) * 1_000_000
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     # Alarms at the same moment decide the same way.
     moments = alarms.select(*keys, us.alias("_us")).filter(F.col("_us").isNotNull()).distinct()

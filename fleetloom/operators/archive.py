@@ -41,20 +41,19 @@ def keyset_chunks(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFr
 def key_profile(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
     """One row per candidate column: type, rows, distinct values, NULLs, and whether it is a usable unique key.
 
-    Each column is counted by its own two-step aggregate, so no task sees more than its share of the values.
+    One scan gives a row per candidate and value, which is counted by value and then by column; both steps combine
+    map-side, so no task sees more than its share of the values. Values are told apart by their JSON text.
     """
-    out = None
-    for c in candidates:
-        per_value = df.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        one = per_value.agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.count("_v").alias("distinct_values"),
-            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_n"))), F.lit(0)).alias("nulls"),
-        ).select(
-            F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("column_type"), "*",
-            ((F.col("row_count") == F.col("distinct_values")) & (F.col("nulls") == 0)).alias("usable"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.to_json(F.struct(F.col(c).alias("v"))).alias("v"), F.col(c).isNull().alias("none")) for c in candidates])
+    per_value = df.select(F.explode(values).alias("x")).groupBy("x.column_name", "x.v", "x.none").agg(F.count("*").alias("n"))
+    found = per_value.groupBy("column_name").agg(
+        F.sum("n").alias("row_count"), F.count_if(~F.col("none")).alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).alias("nulls"),
+    )
+    # A table without rows still has a line for each candidate.
+    named = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in candidates], "column_name string, column_type string")
+    out = named.join(F.broadcast(found), "column_name", "left").fillna(0, ["row_count", "distinct_values", "nulls"])
+    usable = (F.col("row_count") == F.col("distinct_values")) & (F.col("nulls") == 0)
+    return out.select("column_name", "column_type", "row_count", "distinct_values", "nulls", usable.alias("usable"))
 
 
 @dataclass

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from fleetloom.functions.skew import lookup_join
 from fleetloom.operators.tables import breach
 
 DEFAULT_PORT = 65536
-SCRIPT_BLOCKS = 64
+SCRIPT_LIST = 1_000
 
 
 def tier_values(tier: DataFrame, keys: Sequence[str], value: str, state: str | None, out: str) -> DataFrame:
@@ -43,15 +44,15 @@ def resolve_config(
     The request columns must include ``person_keys``; a NULL port should be ``DEFAULT_PORT`` beforehand.
     """
     spread = list(dict.fromkeys([*person_keys, *requests.columns]))
-    out = lookup_join(requests, tier_values(person, person_keys, value, state, "_person"), person_keys, spread=spread)
+    out = lookup_join(requests, tier_values(person, person_keys, value, state, "_person"), person_keys, spread=spread, derived=True)
     tiers: list[tuple[str, Column]] = [("person", F.col("_person"))]
     if host_wide is not None:
-        out = lookup_join(out, tier_values(host_wide, host_keys, value, state, "_host"), host_keys, spread=spread)
+        out = lookup_join(out, tier_values(host_wide, host_keys, value, state, "_host"), host_keys, spread=spread, derived=True)
         tiers.append(("host", F.col("_host")))
-    out = lookup_join(out, tier_values(common, [key], value, state, "_common"), [key], spread=spread)
+    out = lookup_join(out, tier_values(common, [key], value, state, "_common"), [key], spread=spread, derived=True)
     tiers.append(("common", F.col("_common")))
     if local is not None:
-        out = lookup_join(out, tier_values(local, [key], value, None, "_local"), [key], spread=spread)
+        out = lookup_join(out, tier_values(local, [key], value, None, "_local"), [key], spread=spread, derived=True)
         tiers.append(("local", F.col("_local")))
     source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in tiers], F.lit("none"))
     return (
@@ -65,14 +66,19 @@ def resolve_script_state(
 ) -> DataFrame:
     """Every script of a frequency on every host, with the host's own state before the common one.
 
-    The scripts are dealt into blocks and every host asks each block for its scripts, so the pairing is an equi join
-    that Spark broadcasts while the script list is short and shuffles by block when it is not.
+    The common list is configuration: it comes to the driver ``SCRIPT_LIST`` scripts at a time and goes out as a constant, so
+    hosts are widened in place without any join. Only overrides, one row per host and script, are joined.
     """
-    scripts = common.filter((F.col("state") == "online") & (F.col("frequency") == frequency)).select(
-        F.pmod(F.xxhash64("basename"), F.lit(SCRIPT_BLOCKS)).cast("int").alias("_block"), "basename", "running_state"
-    )
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(SCRIPT_BLOCKS - 1)))
-    all_runs = hosts.select(host).withColumn("_block", blocks).join(scripts, "_block").drop("_block")
+    scripts = common.filter((F.col("state") == "online") & (F.col("frequency") == frequency)).select("basename", "running_state")
+    parts, now = [], []
+    for row in scripts.toLocalIterator():
+        now.append(F.struct(F.lit(row["basename"]).cast("string").alias("basename"), F.lit(row["running_state"]).cast("string").alias("running_state")))
+        if len(now) == SCRIPT_LIST:
+            parts, now = [*parts, now], []
+    kind = "array<struct<basename:string,running_state:string>>"
+    lists = [F.array(*p) for p in (parts if parts and not now else [*parts, now])]
+    wide = [hosts.select(host, F.explode(x.cast(kind)).alias("_s")).select(host, "_s.*") for x in lists]
+    all_runs = reduce(DataFrame.union, wide)
     own = (
         person.filter((F.col("state") == "online") & (F.col("frequency") == frequency))
         .groupBy(host, "basename").agg(F.nullif(F.max("running_state"), F.lit("")).alias("_own"))

@@ -55,6 +55,11 @@ def gap_islands(samples: DataFrame, keys: Sequence[str], slot: str, step_seconds
             F.struct((F.col("_hi") + step_seconds).alias("gap_start"), F.lit(bounds[1]).cast("long").alias("gap_end")),
         )
         between = between.unionByName(ends.select(*keys, F.explode(edge).alias("_e")).select(*keys, "_e.*"))
+        # Samples outside the range must not move its ends: every gap is cut to the slots inside.
+        first, last = F.lit(bounds[0]).cast("long"), F.lit(bounds[1]).cast("long")
+        late = F.greatest(F.col("gap_start"), F.col("gap_start") + F.ceil((first - F.col("gap_start")) / step_seconds) * step_seconds)
+        early = F.least(F.col("gap_end"), F.col("gap_end") - F.ceil((F.col("gap_end") - last) / step_seconds) * step_seconds)
+        between = between.withColumns({"gap_start": late.cast("long"), "gap_end": early.cast("long")})
     missing = ((F.col("gap_end") - F.col("gap_start")) / step_seconds).cast("long") + 1
     return between.filter(F.col("gap_end") >= F.col("gap_start")).withColumn("missing", missing).filter(
         F.col("missing") >= min_slots

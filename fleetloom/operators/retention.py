@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +61,11 @@ def tiered_retention(
     keep = merged.select(*groups, F.explode(marks).alias("_m")).groupBy(*groups, F.col(f"_m.k.{row_id}").alias(row_id)).agg(
         F.concat_ws("+", F.array_sort(F.collect_set("_m.r"))).alias("reason")
     )
-    return rows.join(keep, [*groups, row_id], "left").withColumn("kept", F.col("reason").isNotNull())
+    # A NULL group is a group like any other: its only copies must be kept too.
+    keep = keep.select(*[F.col(g).alias(f"_k_{g}") for g in [*groups, row_id]], "reason")
+    same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in [*groups, row_id]])
+    out = rows.join(keep, same, "left").drop(*[f"_k_{g}" for g in [*groups, row_id]])
+    return out.withColumn("kept", F.col("reason").isNotNull())
 
 
 def clear_list(

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetloom.functions.skew import is_small
+from fleetloom.session import pin
+
 
 def last_by_arrival(batch: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """One row per key, the one that arrived last. Reduced map-side, so a key sent very often is harmless."""
@@ -34,12 +37,20 @@ def upsert_replace(target: DataFrame, batch: DataFrame, keys: Sequence[str], arr
 def upsert_partial(target: DataFrame, batch: DataFrame, keys: Sequence[str], update: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """Target after inserting new keys whole and, for known keys, taking over the ``update`` columns only.
 
-    A NULL in the batch keeps the old value.
+    A NULL in the batch keeps the old value. A batch of bounded size is broadcast by its keys, so that untouched target rows
+    stay where they are and only the rows it names are joined; a larger batch is merged by a shuffle of both sides.
     """
     keys = list(keys)
-    new = last_by_arrival(batch, keys, arrival).withColumn("_new", F.lit(True))
-    old = target.withColumn("_old", F.lit(True))
-    joined = old.alias("o").join(new.alias("n"), keys, "full")
+    new = pin(last_by_arrival(batch, keys, arrival))
+    if not is_small(new):
+        return _merge(target, new, keys, update)
+    named = F.broadcast(new.select(*keys))
+    untouched = target.join(named, keys, "left_anti")
+    return untouched.unionByName(_merge(target.join(named, keys, "left_semi"), new, keys, update))
+
+
+def _merge(target: DataFrame, new: DataFrame, keys: list[str], update: Sequence[str]) -> DataFrame:
+    joined = target.withColumn("_old", F.lit(True)).alias("o").join(new.alias("n"), keys, "full")
     out = list(keys)
     for f in target.schema.fields:
         c = f.name

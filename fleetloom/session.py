@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -50,9 +51,30 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_FOLDERS: dict[str, SparkSession] = {}
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
-    """New, unused folder below the shared root."""
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """New, unused folder below the shared root. It belongs to this Python process and is removed when that ends."""
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS[path] = spark
+    return path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder, wherever Spark keeps it; one that is not there is fine."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _FOLDERS.pop(path, None)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_FOLDERS.items()):
+        try:
+            drop_folder(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            return
 
 
 def ship_package(spark: SparkSession) -> None:

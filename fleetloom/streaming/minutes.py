@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from fleetloom.operators.config import threshold_join
 from fleetloom.operators.rates import counter_rate
 from fleetloom.operators.upserts import upsert_partial
+from fleetloom.session import drop_folder, pin
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -23,6 +24,12 @@ def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = No
     return reader.load(path)
 
 
+def table_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """Follow a table that may be one file or a folder of part files."""
+    # A pattern that only the path itself fits: Spark wants a folder where a plain path is given.
+    return file_stream(spark, f"{path[:-1]}[{path[-1]}]", schema, None, files_per_batch)
+
+
 def incremental_source(
     spark: SparkSession, path: str, schema, first_segment: str | None = None, files_per_batch: int | None = None, fmt: str = "parquet"
 ) -> DataFrame:
@@ -89,32 +96,52 @@ def running_state(state_path: str, keys: Sequence[str], ts: str, done: str) -> C
         # A late batch must not move a task back, so the state takes part as an arrival of its own.
         merged = upsert_partial(target, rows.unionByName(target), keys, [ts, done], [ts, done])
         merged.write.mode("overwrite").parquet(f"{state_path}/after={number}")
+        # The version before the last is not needed to repeat a batch.
+        drop_folder(batch.sparkSession, f"{state_path}/after={number - 2}")
 
     return each
 
 
 def stream_rate_alarm(
     out_path: str, state_path: str, thresholds: Callable[[SparkSession], DataFrame], *, keys: Sequence[str], slot: str, written: str,
-    counter: str, threshold: str, step_seconds: int, alarm_id: str, end: Column,
+    counter: str, threshold: str, step_seconds: int, alarm_id: str, end: Column, late_seconds: int = 0,
 ) -> Callable[[DataFrame, int], None]:
     """Batch writer that turns counter samples into alarms with the thresholds of the moment.
 
-    The last sample of every key is carried to the next batch. ``thresholds`` is called for each batch, so changed
-    configuration is taken up without a restart.
+    Samples may arrive up to ``late_seconds`` behind the newest one of their key, in any order and more than once: for that
+    long, and one step more, the samples of a key and the alarms already raised are carried along, a sample counts once per
+    (key, slot), and no alarm is raised twice. Later ones are dropped. ``thresholds`` is called for each batch, so changed
+    configuration is taken up without a restart. Only the state of the last two batches is kept.
     """
+    keys = list(keys)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        samples = batch.select(*keys, slot, written, counter)
-        before = _state_before(spark, state_path, number)
-        seen = samples if before is None else samples.unionByName(before)
+        samples = batch.select(*keys, slot, written, counter).dropDuplicates([*keys, slot])
+        before = _state_before(spark, f"{state_path}/samples", number)
+        raised = _state_before(spark, f"{state_path}/raised", number)
+        # A sample that is known already is a replay; the first one stays.
+        seen = samples if before is None else before.unionByName(samples.join(before.select(*keys, slot), [*keys, slot], "left_anti"))
+        newest = F.max(F.unix_timestamp(F.col(slot))).alias("_newest")
+        if before is not None:
+            old = before.groupBy(*keys).agg(newest)
+            seen = seen.join(old, keys, "left").filter(
+                F.col("_newest").isNull() | (F.unix_timestamp(F.col(slot)) >= F.col("_newest") - F.lit(late_seconds + step_seconds))
+            ).drop("_newest")
+        seen = pin(seen)
         rates = counter_rate(seen, keys, slot, written, [counter], step_seconds)
         begin = F.col(slot) - F.expr(f"INTERVAL {int(step_seconds)} SECONDS")
         alarms = threshold_join(
             rates, thresholds(spark), keys, f"{counter}_rate", threshold, alarm_id=alarm_id, spread=[*keys, slot], begin=begin, end=end
         )
-        alarms.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        last = F.max_by(F.struct(slot, written, counter), F.col(slot)).alias("_row")
-        seen.groupBy(*keys).agg(last).select(*keys, "_row.*").write.mode("overwrite").parquet(f"{state_path}/after={number}")
+        fresh = alarms if raised is None else alarms.join(raised, [*keys, slot], "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        fresh = spark.read.schema(fresh.schema).parquet(f"{out_path}/batch={number}")
+        told = fresh.select(*keys, slot) if raised is None else raised.unionByName(fresh.select(*keys, slot))
+        last = seen.groupBy(*keys).agg(newest)
+        recent = F.unix_timestamp(F.col(slot)) >= F.col("_newest") - F.lit(late_seconds + step_seconds)
+        for name, rows in (("samples", seen), ("raised", told)):
+            rows.join(last, keys).filter(recent).drop("_newest").write.mode("overwrite").parquet(f"{state_path}/{name}/after={number}")
+            drop_folder(spark, f"{state_path}/{name}/after={number - 2}")
 
     return each

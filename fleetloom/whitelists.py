@@ -6,6 +6,7 @@ STATUS = (
     "Aborted_connects",
     "Bytes_received",
     "Bytes_sent",
+    "Com_commit",
     "Com_delete",
     "Com_grant",
     "Com_insert",
@@ -57,35 +58,6 @@ STATUS = (
     "Threads_running",
 )
 
-# Replica status fields.
-REPLICA_STATUS = (
-    "Master_Host",
-    "Master_User",
-    "Master_Port",
-    "Master_Log_File",
-    "Read_Master_Log_Pos",
-    "Relay_Log_File",
-    "Relay_Log_Pos",
-    "Relay_Master_Log_File",
-    "Slave_IO_Running",
-    "Slave_SQL_Running",
-    "Replicate_Do_DB",
-    "Replicate_Ignore_DB",
-    "Replicate_Do_Table",
-    "Replicate_Ignore_Table",
-    "Replicate_Wild_Do_Table",
-    "Replicate_Wild_Ignore_Table",
-    "Exec_Master_Log_Pos",
-    "Relay_Log_Space",
-    "Seconds_Behind_Master",
-    "Master_Server_Id",
-    "Master_UUID",
-    "Slave_SQL_Running_State",
-    "Executed_Gtid_Set",
-    "Auto_Position",
-    "Channel_Name",
-)
-
 # Table catalogue columns (matched without regard to case) and what stands for NULL.
 TABLE_INFO_DEFAULTS = {
     "table_schema": "",

@@ -68,3 +68,9 @@ def test_converge_time(spark, rows):
     df = spark.createDataFrame([("a", at(0), 2), ("a", at(0), 1), ("a", at(59), 3), ("a", at(60), 4)], "k string, ts timestamp_ntz, id long")
     got = rows(alarms.converge_time(df, ["k"], "ts", ["id"], 60), "k", "ts", "id", "alarms")
     assert got == [("a", at(0), 1, 3), ("a", at(60), 4, 1)]
+
+
+def test_summary_of_a_slice_is_small():
+    times = np.arange(0, 20_000 * 10, 10)
+    starts, ends = alarms.slice_exits(times, 0, 20_000)
+    assert len(starts) == len(ends) < len(times) / 9

@@ -71,3 +71,14 @@ def test_capacity_trend(spark, rows):
     day = lambda d: dt.date(2024, 1, d)
     df = spark.createDataFrame([("t", day(1), 9), ("t", day(2), 10), ("t", day(2), 5), ("t", day(4), 30)], "t string, d date, n long")
     assert rows(gaps.capacity_trend(df, ["t"], "d", ["n"], F.lit(day(4)), 3)) == [("t", day(2), 15, None), ("t", day(4), 30, 15)]
+
+
+def test_gaps_are_cut_to_the_bounds(spark, rows):
+    def found(times, bounds):
+        df = spark.createDataFrame([("a", dt.datetime(1970, 1, 1) + dt.timedelta(seconds=t)) for t in times], "k string, ts timestamp_ntz")
+        return rows(gaps.gap_islands(df, ["k"], "ts", 100, bounds=bounds), "gap_start", "gap_end", "missing")
+
+    assert found([0, 600], (200, 500)) == [(200, 500, 4)]
+    assert found([2000], (200, 500)) == [(200, 500, 4)]
+    assert found([300, 900], (200, 500)) == [(200, 200, 1), (400, 500, 2)]
+    assert found([-500, 300], (200, 500)) == [(200, 200, 1), (400, 500, 2)]

@@ -148,7 +148,7 @@ def test_collector_whitelists(spark, rows):
 
     raw = spark.createDataFrame([("h", "Slow_queries", "5"), ("h", "Key_read_requests", "7"), ("h", "Uptime", "9"), ("h", "slow_queries", "6")], "ip string, n string, v string")
     row = pivot_whitelist(raw, ["ip"], "n", "v", whitelists.STATUS, "f").first()
-    assert (row["fslow_queries"], row["fkey_read_requests"], row["fqueries"]) == ("5", "7", None) and len(row) == 54
+    assert (row["fslow_queries"], row["fkey_read_requests"], row["fqueries"]) == ("5", "7", None) and len(row) == 55
     info = spark.createDataFrame([("shop", None, None), ("sys", "x", "1")], "table_schema string, row_format string, engine string")
     kept = exclude_names(info, "table_schema", whitelists.SYSTEM_SCHEMAS)
     wanted = {c: whitelists.TABLE_INFO_DEFAULTS[c] for c in info.columns}

@@ -90,3 +90,9 @@ def test_catalogue_plans(spark, rows):
     both = ledger(spark, ["0214", "0215", "0219"]).unionByName(ledger(spark, ["0214", "0215", "0219"], "mydumper"))
     ids = both.withColumn("task_id", F.concat("mode", "task_id"))
     assert rows(backup_catalogue.clear_plan(info, ids, day("0220")), "task_id") == [("mydumper0215",), ("xtrabackup0215",)]
+
+
+def test_null_group_keeps_its_only_copies(spark, rows):
+    df = spark.createDataFrame([(None, dt.date(2020, 1, d), d) for d in (1, 2, 3)], "g string, day date, id long")
+    out = retention.tiered_retention(df, ["g"], "day", "id", dt.date(2021, 1, 1), None)
+    assert rows(out, "id", "kept") == [(1, True), (2, False), (3, True)]

@@ -84,3 +84,15 @@ def test_top_n_per_group(spark, n):
     got = skew.top_n_per_group(df, ["g"], [F.desc("id")], n, ["id"])
     assert got.groupBy("g").count().filter(F.col("count") == n).count() == 2
     assert got.agg(F.min("id")).first()[0] == 5_000 - 2 * n
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    wide = spark.range(10).select("id", F.repeat(F.lit("x"), 1000).alias("v"))
+    assert skew.is_small(wide) and not skew.is_small(wide, max_bytes=5_000) and not skew.is_small(wide, max_rows=9)
+
+
+def test_salts_follow_the_size_of_a_key(spark, rows):
+    facts = spark.createDataFrame(fact_rows(), "id long, k long")
+    dim = spark.createDataFrame([(7, "hot"), (1, "one")], "k long, v string")
+    got = skew.lookup_join(facts, dim, ["k"], "left", spread=["id"], max_broadcast_rows=0, hot_min_rows=20, hot_share=4)
+    assert rows(got, "id", "v") == rows(facts.join(dim, ["k"], "left"), "id", "v")

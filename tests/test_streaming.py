@@ -100,3 +100,33 @@ def test_gap_stream(spark, tmp_path):
         minutes.run_to_folder(keyed.stream_gap(minutes.file_stream(spark, src, s), ["k"], "ts", 300, "10 seconds"), out, cp)
     # b was told by the watermark after the second part and not again on its return; a by its own late report.
     assert sorted((r["k"], r["silent_since_us"]) for r in spark.read.parquet(out).collect()) == [("a", us(100)), ("b", us(0))]
+
+
+def test_rate_alarm_with_late_and_repeated_samples(spark, tmp_path, rows):
+    src, out, state, cp = (str(tmp_path / x) for x in ("src", "out", "state", "cp"))
+    schema = "k string, slot timestamp_ntz, written timestamp_ntz, c long"
+    sample = lambda m, c: ("a", at(60 * m), at(60 * m + 1), c)
+    parts = [[sample(60, 100), sample(62, 9000)], [sample(61, 4000)], [sample(61, 4000), sample(62, 9000)], [sample(63, 9001)], [sample(1, 5), sample(2, 900_000)]]
+    limits = lambda session: session.createDataFrame([("a", 10.0)], "k string, threshold double")
+    each = minutes.stream_rate_alarm(
+        out, state, limits, keys=["k"], slot="slot", written="written", counter="c", threshold="threshold", step_seconds=60, alarm_id="110",
+        end=F.col("slot"), late_seconds=300,
+    )
+    for part in parts:
+        s = add(spark, src, part, schema)
+        minutes.run_batches(minutes.file_stream(spark, src, s), each, cp)
+    got = rows(spark.read.option("basePath", out).parquet(out), "k", "slot")
+    # The pair of the late sample is found, nothing is told twice, and what is later than allowed is dropped.
+    assert got == [("a", at(60 * 61)), ("a", at(60 * 62))]
+    assert len(list((tmp_path / "state" / "samples").glob("after=*"))) == 2
+
+
+def test_table_stream_takes_a_file_and_a_folder(spark, tmp_path):
+    df = spark.range(100).repartition(5)
+    folder, out, cp = (str(tmp_path / x) for x in ("t.parquet", "out", "cp"))
+    df.write.parquet(folder)
+    minutes.run_to_folder(minutes.table_stream(spark, folder, df.schema, 2), out, cp)
+    assert spark.read.parquet(out).count() == 100
+    (one,) = [p for p in (tmp_path / "t.parquet").glob("part-*") if spark.read.parquet(str(p)).count() == 20][:1]
+    minutes.run_to_folder(minutes.table_stream(spark, str(one), df.schema), out + "1", cp + "1")
+    assert spark.read.parquet(out + "1").count() == 20
