@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import columns, fmindex, lines, mixing, mixlm, naming, quality, shingles, warc
+from fleetloom.llm import columns, fmindex, lengths, lines, mixing, mixlm, naming, quality, shingles, warc
 from fleetloom.llm.common import LOWER, UPPER
 
 QUERIES: dict = {}
@@ -26,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_token_lengths")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram of the token lengths of all documents with suffix sums; no SQL has the encoder, tested by direct counts."""
+    return lengths.length_table(lengths.token_lengths(table(spark, sf_dir, "documents")))
+
+
 @query("op2_fuzzy_lines")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fuzzy repeated lines of all documents; no SQL, tested against all pairs of lines."""
