@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetloom.catalogue.registry import query, table
 from fleetloom.operators import archive
 from fleetloom.operators.tables import key_range, older_than
-from fleetloom.plans.archive_run import run_archive
+from fleetloom.plans.archive_run import audit_chunks, run_archive
 from fleetloom.session import work_folder
 
 TODAY = dt.date(1998, 1, 31)
@@ -90,6 +90,24 @@ def archive_run(spark, d):
     return run_archive(table(spark, d, "orders"), "o_orderdate", TODAY, 30, ["o_orderkey"], 1000, out, "orders_19980131")
 
 
+@query("archive_run_empty", "SELECT 'none' AS task_id, 'Succ' AS exec_status, CAST(0 AS BIGINT) AS chunks, count(*) AS row_count FROM orders WHERE o_orderdate < TIMESTAMP '1900-01-01'")
+def archive_run_empty(spark, d):
+    """A run that finds nothing old says so."""
+    return run_archive(table(spark, d, "orders"), "o_orderdate", TODAY, 100_000, ["o_orderkey"], 1000, work_folder(spark, "archive"), "none")
+
+
+@query("archive_audit", f"""
+WITH o AS (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS chunk_no FROM orders WHERE o_orderdate < {CUT})
+SELECT chunk_no, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, count(*) AS chunk_rows, count_if(o_orderkey % 5000 <> 0) AS written_rows,
+       CASE WHEN count_if(o_orderkey % 5000 = 0) > 0 THEN 'Fail' ELSE 'Succ' END AS exec_status FROM o GROUP BY 1
+""")
+def archive_audit(spark, d):
+    """The audit of a copy that has lost some rows: the chunks they belong to fail."""
+    old = archive.archive_split(table(spark, d, "orders"), "o_orderdate", TODAY, 30).archived
+    audit = audit_chunks(old, old.filter(F.col("o_orderkey") % 5000 != 0), ["o_orderkey"], 1000, "t")
+    return audit.select("chunk_no", F.col("first_key.o_orderkey").alias("first_key"), F.col("last_key.o_orderkey").alias("last_key"), "chunk_rows", "written_rows", "exec_status")
+
+
 @query("footprint", """
 SELECT l_returnflag, l_linestatus, round(CAST(sum(CAST(l_quantity AS BIGINT) * 100 + l_linenumber) AS DOUBLE) / 1024 / 1024, 4) AS size_mb,
        count(*) AS table_rows, count(DISTINCT date_trunc('month', l_shipdate)) AS parts

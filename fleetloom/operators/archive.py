@@ -90,6 +90,14 @@ def retirable_parts(parts: DataFrame, bound: str, threshold: dt.date) -> DataFra
     return parts.filter(F.to_date(F.try_to_timestamp(F.trim(F.col(bound).cast("string"), F.lit("'")))) < F.lit(threshold))
 
 
+def _day(value: str) -> dt.date | None:
+    """The date a partition value names; one that names none is never dropped."""
+    try:
+        return dt.date.fromisoformat(value)
+    except ValueError:
+        return None
+
+
 def retire_partitions(spark: SparkSession, table: str, column: str, threshold: dt.date) -> list[str]:
     """Drop the partitions of a table below the threshold, whole; returns the dropped values.
 
@@ -97,7 +105,7 @@ def retire_partitions(spark: SparkSession, table: str, column: str, threshold: d
     """
     names = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
     values = sorted(v for k, v in (n.split("=", 1) for n in names) if k == column)
-    old = [v for v in values if v != "__HIVE_DEFAULT_PARTITION__" and dt.date.fromisoformat(v) < threshold]
+    old = [v for v in values if (day := _day(v)) is not None and day < threshold]
     if old:
         parts = ", ".join(f"PARTITION ({column} = '{v}')" for v in old)
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")

@@ -22,6 +22,8 @@ def _slots(df: DataFrame, first: Column, last: Column, step: int, out: str, slic
     blocks = df.withColumns({"_first": first, "_last": last}).filter(F.col("_last") >= F.col("_first")).withColumn(
         "_block", F.explode(F.sequence(F.col("_first"), F.col("_last"), F.lit(length)))
     )
+    # A long gap is many blocks: they are dealt out before each becomes many rows.
+    blocks = blocks.repartition(*[c for c in blocks.columns if c != "_first"])
     end = F.least(F.col("_block") + F.lit(length - step), F.col("_last"))
     return blocks.withColumn(out, F.explode(F.sequence(F.col("_block"), end, F.lit(step)))).drop("_first", "_last", "_block")
 

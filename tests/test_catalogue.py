@@ -31,7 +31,7 @@ def test_entry(spark):
 
 
 # Global aggregates and sorted top rows end in one partition by nature; there are only partial results left there.
-GLOBAL = {"key_bounds", "gate_counts", "key_profile", "archive_run", "first_n", "last_n", "nth_row", "shard_coverage", "converge_exact", "converge_count"}
+GLOBAL = {"archive_run_empty", "key_bounds", "gate_counts", "key_profile", "archive_run", "first_n", "last_n", "nth_row", "shard_coverage", "converge_exact", "converge_count"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
