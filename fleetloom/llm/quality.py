@@ -27,7 +27,7 @@ NAMES = (
     "repeats distinct_lines longest_line quotes"
 ).split()
 BIN = 1000  # score bins per unit for the calibration
-TASKS = 32  # partitions of training rows, each giving one matrix to the driver
+TASKS = 32  # parts of the training rows, each giving one matrix to the driver
 
 
 def statistics(text: bytes) -> list[float]:
@@ -115,27 +115,25 @@ def fit(feats: DataFrame, labels: DataFrame, label: str = "quality", label_id: s
     n = known.count()
     if n > max_rows:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < max_rows)
-    rows = write_out(feats.join(known, "doc_id").select("f", "y", (fold(F.col("doc_id"), 5) == 0).alias("check")).repartition(TASKS), "training")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(TASKS)).cast("int").alias("part")
+    rows = write_out(feats.join(known, "doc_id").select("f", "y", (fold(F.col("doc_id"), 5) == 0).alias("check"), part), "training")
 
     dims = len(NAMES)
     rng = np.random.default_rng(seed)
     model = Model(np.zeros(dims), np.ones(dims), rng.normal(size=(dims, waves)) / np.sqrt(dims), rng.uniform(0, 2 * np.pi, waves), np.zeros(waves + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
 
-    def summed(width, part, source):
-        def run(batches):
-            total, seen = np.zeros(width), False
-            for b in batches:
-                if len(b):
-                    total, seen = total + part(np.stack(b["f"].to_numpy()), b["y"].to_numpy(float)), True
-            if seen:
-                yield pd.DataFrame({"sums": [total.tobytes()]})
-
-        total, any_row = np.zeros(width), False
-        for r in source.mapInPandas(run, "sums binary").toLocalIterator():
-            total, any_row = total + np.frombuffer(r["sums"]), True
-        return total if any_row else None
-
-    moments = summed(2 * dims + 1, lambda x, _: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))), rows)
+    def summed(part, source):
+        """Sum of ``part`` over all rows: by parts of bounded size, in a fixed order, so that it comes out the same each time."""
+
+        def run(rows):
+            x, y = np.stack(rows["f"].to_numpy()), rows["y"].to_numpy(float)
+            order = np.lexsort([y, *x.T])
+            return pd.DataFrame({"part": rows["part"].iloc[:1], "sums": [part(x[order], y[order]).tobytes()]})
+
+        found = sorted(source.groupBy("part").applyInPandas(run, "part int, sums binary").collect())  # TASKS rows
+        return sum(np.frombuffer(r["sums"]) for r in found) if found else None
+
+    moments = summed(lambda x, _: np.concatenate(([len(x)], x.sum(0), (x * x).sum(0))), rows)
     if moments is None:
         return model
     model.mean = moments[1 : dims + 1] / moments[0]
@@ -147,9 +145,9 @@ def fit(feats: DataFrame, labels: DataFrame, label: str = "quality", label_id: s
         z = model.features(x)
         return np.concatenate(((z.T @ z).ravel(), z.T @ y, [len(x)]))
 
-    sums = summed(side * side + side + 1, normal, rows.filter("not check"))
+    sums = summed(normal, rows.filter("not check"))
     if sums is None:
-        sums = summed(side * side + side + 1, normal, rows)
+        sums = summed(normal, rows)
     penalty = np.eye(side) * ridge * sums[-1] / waves
     penalty[0, 0] = 1e-9
     model.weights = np.linalg.solve(sums[: side * side].reshape(side, side) + penalty, sums[side * side : -1])

@@ -164,8 +164,11 @@ def dechunk(message: bytes) -> bytes:
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         payloads, sizes, digests = [], [], []
-        for kind, block in zip(batch.column("type").to_pylist(), batch.column("block").to_pylist(), strict=True):
-            data = dechunk(block) if kind == "response" else None
+        for kind, whole, block in zip(*[batch.column(c).to_pylist() for c in ("type", "whole", "block")], strict=True):
+            try:
+                data = dechunk(block) if kind == "response" and whole else None
+            except ValueError:
+                data = None  # framing that can't be undone: reported by the missing payload
             payloads.append(data)
             sizes.append(None if data is None else len(data))
             digests.append(None if data is None else base64.b32encode(hashlib.sha1(data).digest()).decode())
