@@ -84,7 +84,8 @@ def exact_dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", block
     Other columns of ``df`` are not read, whatever their names.
     """
     ids = write_out(block_identity(df, text, doc_id, block_bytes), "identity")
-    groups = ids.groupBy("depth", "name").agg(F.max(F.struct("_id", "rid")).alias("top"), F.count("*").alias("group_size"))
+    # Written, so that the join below has two plain shuffles and Spark can split the rows of a very large group.
+    groups = write_out(ids.groupBy("depth", "name").agg(F.max(F.struct("_id", "rid")).alias("top"), F.count("*").alias("group_size")), "groups")
     return ids.join(groups, ["depth", "name"]).select(
         F.col("_id").alias("doc_id"), F.col("top._id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("top.rid")).alias("kept"), F.col("_sha").alias("text_sha256"),
