@@ -153,3 +153,15 @@ def test_index_finds_what_is_there():
         for p, k, a, b in zip(patterns, length, lo, hi, strict=True):
             want = [i for i in range(len(text) - k + 1) if (text[i : i + k] == p[:k]).all()]
             assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
+
+
+def test_contexts_of_every_training_document_count(spark):
+    """Each held-out text repeats one training document; none of them may be unknown, also if its weights were fitted on it."""
+    rng = np.random.default_rng(6)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 400)) for _ in range(60)]
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    others = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = list(zip(others[:60], texts, strict=True)) + list(zip(held[:60], texts, strict=True))
+    found = [r for r in mixlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    bits = [r.bits_per_byte for r in found]
+    assert len(bits) == 60 and max(bits) < 1.5 * np.median(bits)
