@@ -165,3 +165,10 @@ def test_contexts_of_every_training_document_count(spark):
     found = [r for r in mixlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
     bits = [r.bits_per_byte for r in found]
     assert len(bits) == 60 and max(bits) < 1.5 * np.median(bits)
+
+
+def test_sample_is_written_before_one_task_reads_it(awkward, monkeypatch):
+    made, write_out = {}, mixlm.write_out
+    monkeypatch.setattr(mixlm, "write_out", lambda df, label: made.setdefault(label, write_out(df, label)))
+    mixlm.score_documents(awkward)
+    assert made["sample"].columns == ["_text"]
