@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import columns, fmindex, lengths, lines, mixing, mixlm, naming, quality, shingles, warc
-from fleetloom.llm.common import LOWER, UPPER
+from fleetloom.llm import centroids, columns, fmindex, lengths, lines, merkle, mixing, mixlm, naming, quality, shingles, warc
+from fleetloom.llm.common import LOWER, UPPER, lower_ascii, write_out
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,93 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of all documents by recursive block names."""
     return naming.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+def cluster_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after another; each vector meets the ``k`` centroids."""
+    steps = [rf"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM v ORDER BY h, v LIMIT {k}))"""]
+    near = """
+a{i} AS MATERIALIZED (
+  SELECT rid, vec_id, v, split_part(m, ' ', 1)::BIGINT AS distance, split_part(m, ' ', 2)::INTEGER AS cluster FROM (
+    SELECT rid, any_value(vec_id) AS vec_id, any_value(v.v) AS v, min_by(d || ' ' || c, (d, c)) AS m FROM (
+      SELECT v.*, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) v GROUP BY rid))"""
+    move = """
+c{j} AS MATERIALIZED (
+  SELECT c, coalesce(n.v, c{i}.v) AS v FROM c{i} LEFT JOIN (
+    SELECT cluster, list(floor_mean ORDER BY j) AS v FROM (
+      SELECT cluster, j, (s - ((s % n) + n) % n) // n AS floor_mean FROM (SELECT cluster, j, sum(x) AS s, count(*) AS n FROM (
+        SELECT cluster, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY cluster, j)) GROUP BY cluster) n ON n.cluster = c)"""
+    for i in range(rounds):
+        steps += [near.format(i=i), move.format(i=i, j=i + 1)]
+    return ",".join([*steps, near.format(i=rounds)]) + f"""
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c = cluster
+"""
+
+
+@query("op12_mean_scan", cluster_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen clusters of all embeddings by the equal-average equal-variance search."""
+    found, final = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    found = write_out(found, "assigned")
+    # One row per cluster, sixteen at most.
+    total = {r["cluster"]: r["s"] for r in found.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    named = [(i, total.get(i, 0), ",".join(map(str, c))) for i, c in enumerate(final.tolist())]
+    named = spark.createDataFrame(named, "cluster int, cluster_inertia long, c string")
+    return found.join(F.broadcast(named), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", F.lit(sum(total.values())).cast("long").alias("inertia"), F.sha2("c", 256).alias("centroid_sha256")
+    )
+
+
+def merkle_sql(levels: int = 8, upper: int = 5) -> str:
+    """Level by level; a tree with one node left is handed on as it is, so ``levels`` need only be enough."""
+    leaf = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + ")"
+    low = f"translate(text, '{UPPER}', '{LOWER}')"
+    crc = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(str_split(doc_id::VARCHAR, ''),
+      lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END))"""
+    parts = [f"""
+WITH leaves AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, source, {leaf.format(text="text")} AS leaf,
+    CASE WHEN {crc} % 5 = 0 THEN {leaf.format(text=low)} END AS claimed FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos FROM leaves)"""]
+    grow = """
+{a}{j} AS MATERIALIZED (
+  SELECT tree, (n + 15) // 16 AS n, pos // 16 AS pos, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {a}{i} WHERE n > 1 GROUP BY tree, n, pos // 16
+  UNION ALL SELECT * FROM {a}{i} WHERE n = 1)"""
+    climb = """
+{p}{j} AS MATERIALIZED (
+  SELECT {p}.* REPLACE (CASE WHEN {p}.n = 1 THEN cur ELSE sha256(coalesce(l, '') || cur || coalesce(r, '')) END AS cur,
+      CASE WHEN {p}.n = 1 THEN sibs ELSE sibs || coalesce(l, '') || coalesce(r, '') END AS sibs, CASE WHEN {p}.n = 1 THEN {p}.pos ELSE {p}.pos // 16 END AS pos,
+      CASE WHEN {p}.n = 1 THEN 1 ELSE ({p}.n + 15) // 16 END AS n)
+  FROM {p}{i} {p} JOIN (
+    SELECT tree, pos, string_agg(h, '') OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
+      string_agg(h, '') OVER (PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM {a}{i}) s USING (tree, pos))"""
+    parts.append("\na0 AS MATERIALIZED (SELECT tree, n, pos, leaf AS h FROM placed)")
+    parts += [grow.format(a="a", i=i, j=i + 1) for i in range(levels)]
+    parts.append("\np0 AS MATERIALIZED (SELECT rid, tree, n, pos, coalesce(claimed, leaf) AS cur, '' AS sibs FROM placed)")
+    parts += [climb.format(p="p", a="a", i=i, j=i + 1) for i in range(levels)]
+    parts.append(f"\nb0 AS MATERIALIZED (SELECT 0 AS tree, count(*) OVER () AS n, tree AS pos, h FROM a{levels})")
+    parts += [grow.format(a="b", i=i, j=i + 1) for i in range(upper)]
+    parts.append(f"\nq0 AS MATERIALIZED (SELECT rid, 0 AS tree, (SELECT count(*) FROM a{levels}) AS n, tree AS pos, cur, sibs FROM p{levels})")
+    parts += [climb.format(p="q", a="b", i=i, j=i + 1) for i in range(upper)]
+    return ",".join(parts) + f"""
+SELECT doc_id, leaf, s.h AS subroot, b{upper}.h AS root, sha256(sibs) AS proof_sha256, cur AS folded_root, cur = b{upper}.h AS verified
+FROM placed JOIN q{upper} USING (rid) JOIN a{levels} s ON s.tree = placed.tree, b{upper}
+"""
+
+
+@query("op13_merkle_windows", merkle_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of all documents, replayed with texts of which some were tampered with."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.merkle_proofs(table(spark, sf_dir, "documents"), claim={"text": tampered})
+    found = found.withColumns({"proof_sha256": F.sha2(merkle.siblings(F.col("steps")), 256), "folded_root": merkle.fold(F.col("claimed"), F.col("steps"))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -21,7 +21,7 @@ def test_equal_to_sql(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(x[2:].split("_")[0]) for x in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", ["op5_mix_sources"])
