@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetloom.llm import centroids, columns, fmindex, lengths, lines, merkle, mixing, mixlm, naming, quality, shingles, warc
+from fleetloom.llm import centroids, columns, fmindex, langid, lengths, lines, merkle, mixing, mixlm, naming, quality, shingles, warc
 from fleetloom.llm.common import LOWER, UPPER, lower_ascii, write_out
 
 QUERIES: dict = {}
@@ -165,6 +165,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query("op11_string_kernel")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; no SQL, tested against plain kernels and on held-out rows."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def cluster_sql(k: int = 16, rounds: int = 3) -> str:
     """The rounds one after another; each vector meets the ``k`` centroids."""
     steps = [rf"""
