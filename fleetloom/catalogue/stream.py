@@ -10,7 +10,7 @@ from fleetloom.catalogue import registry
 from fleetloom.catalogue.registry import table
 from fleetloom.catalogue.telemetry import ALARMS, hourly
 from fleetloom.session import work_folder
-from fleetloom.streaming import keyed, minutes
+from fleetloom.streaming import keyed, known, minutes
 
 
 def query(name, sql):
@@ -84,58 +84,72 @@ def stream_ingest(spark, d):
 SELECT user_id, event_type, epoch_us(max(ts)) // 1000000 AS last_run, arg_max(value > 10, (ts, value > 10)) AS is_done FROM events GROUP BY 1, 2
 """)
 def running_state(spark, d):
+    """Last run and done flag of every (user, event type), kept in the state store over three starts of the stream."""
     ev = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", (F.col("value") > 10).alias("is_done"))
-    state, work = work_folder(spark, "state"), work_folder(spark, "state-checkpoint")
-    batches = []
-    each = minutes.running_state(state, ["user_id", "event_type"], "ts", "is_done")
+    work = work_folder(spark, "state-checkpoint")
     for source in arrivals(spark, ev, "ts", "beats"):
-        minutes.run_batches(minutes.file_stream(spark, source, ev.schema), lambda df, n: (each(df, n), batches.append(n)), work)
-    return spark.read.parquet(f"{state}/after={max(batches)}").select(
-        "user_id", "event_type", F.unix_timestamp("ts").alias("last_run"), "is_done"
-    )
+        known.run_last_known(minutes.file_stream(spark, source, ev.schema), ["user_id", "event_type"], "ts", ["is_done"], work)
+    return known.known_now(spark, work).select("user_id", "event_type", F.expr("last_us div 1000000").alias("last_run"), "is_done")
 
 
-@query("stream_rate_alarm", ALARMS)
-def stream_rate_alarm(spark, d):
-    """The alarm path batch by batch over hourly samples; the same alarms as the whole table gives at once."""
+@query("running_state_orders", """
+SELECT o_custkey, epoch_us(max(o_orderdate))::BIGINT // 1000000 AS last_order, arg_max(o_orderstatus, (o_orderdate, o_orderstatus)) AS status,
+  arg_max(total, (o_orderdate, total)) FILTER (WHERE total IS NOT NULL) AS last_large
+FROM (SELECT *, CASE WHEN o_totalprice > 100000 THEN o_totalprice END AS total FROM orders) GROUP BY 1
+""")
+def running_state_orders(spark, d):
+    """Newest order, its status and the last large amount of every customer; the orders come twice and in no order of time."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderdate", F.col("o_orderstatus").alias("status"), F.when(F.col("o_totalprice") > 100000, F.col("o_totalprice")).alias("last_large"))
+    source, work = work_folder(spark, "orders"), work_folder(spark, "orders-checkpoint")
+    turn = F.pmod(F.xxhash64("o_custkey", "o_orderdate"), F.lit(3))
+    for i in range(2):
+        rows.filter((turn == i) | (turn == 2)).write.mode("append").parquet(source)
+        known.run_last_known(minutes.file_stream(spark, source, rows.schema), ["o_custkey"], "o_orderdate", ["status", "last_large"], work)
+    return known.known_now(spark, work).select("o_custkey", F.expr("last_us div 1000000").alias("last_order"), "status", "last_large")
+
+
+def rate_alarms(spark, d, sources, late_seconds=0):
+    """The alarm path over hourly samples that arrive part by part."""
     samples = hourly(spark, d)
-    out, state, work = work_folder(spark, "alarms"), work_folder(spark, "last"), work_folder(spark, "alarms-checkpoint")
+    out, work = work_folder(spark, "alarms"), work_folder(spark, "alarms-checkpoint")
     limit = F.when(F.col("event_type") == "error", 500.0).otherwise(1000.0)
 
     def limits(session):
         return table(session, d, "events").select("event_type").distinct().withColumn("threshold", limit)
 
-    each = minutes.stream_rate_alarm(
-        out, state, limits, keys=["event_type"], slot="slot", written="written", counter="bytes", threshold="threshold", step_seconds=3600,
-        alarm_id="110", end=F.col("slot"),
+    each = minutes.alarm_batches(
+        out, limits, keys=["event_type"], slot="slot", counter="bytes", threshold="threshold", step_seconds=3600, alarm_id="110", end=F.col("slot")
     )
-    for source in arrivals(spark, samples, "slot", "samples"):
-        minutes.run_batches(minutes.file_stream(spark, source, samples.schema), each, work)
+    for source in sources(samples):
+        rates = minutes.stream_rates(
+            minutes.file_stream(spark, source, samples.schema), keys=["event_type"], slot="slot", written="written", counters=["bytes"],
+            step_seconds=3600, late_seconds=late_seconds,
+        )
+        minutes.run_batches(rates, each, work, closing=False)
     epoch = lambda c: F.unix_timestamp(F.col(c)).alias(c)
     return spark.read.option("basePath", out).parquet(out).select(
         "event_type", epoch("slot"), "bytes_rate", "threshold", "alarm_id", "content", epoch("range_begin"), epoch("range_end")
     )
 
 
+@query("stream_rate_alarm", ALARMS)
+def stream_rate_alarm(spark, d):
+    """The alarm path batch by batch; the same alarms as the whole table gives at once."""
+    return rate_alarms(spark, d, lambda samples: arrivals(spark, samples, "slot", "samples"))
+
+
 @query("stream_rate_alarm_late", ALARMS)
 def stream_rate_alarm_late(spark, d):
     """The same alarms when samples arrive in any order, a third of them twice, and none is lost or raised again."""
-    samples = hourly(spark, d)
-    source, out, state, work = (work_folder(spark, x) for x in ("mixed", "late-alarms", "late-state", "late-checkpoint"))
-    limit = F.when(F.col("event_type") == "error", 500.0).otherwise(1000.0)
-    limits = lambda session: table(session, d, "events").select("event_type").distinct().withColumn("threshold", limit)
-    each = minutes.stream_rate_alarm(
-        out, state, limits, keys=["event_type"], slot="slot", written="written", counter="bytes", threshold="threshold", step_seconds=3600,
-        alarm_id="110", end=F.col("slot"), late_seconds=10 * 366 * 86_400,
-    )
-    turn = F.pmod(F.xxhash64("event_type", "slot"), F.lit(3))
-    for i in range(3):
-        samples.filter((turn == i) | (turn == (i + 1) % 3) & (F.pmod(F.xxhash64("slot"), F.lit(3)) == 0)).write.mode("append").parquet(source)
-        minutes.run_batches(minutes.file_stream(spark, source, samples.schema), each, work)
-    epoch = lambda c: F.unix_timestamp(F.col(c)).alias(c)
-    return spark.read.option("basePath", out).parquet(out).select(
-        "event_type", epoch("slot"), "bytes_rate", "threshold", "alarm_id", "content", epoch("range_begin"), epoch("range_end")
-    )
+
+    def mixed(samples):
+        source = work_folder(spark, "mixed")
+        turn = F.pmod(F.xxhash64("event_type", "slot"), F.lit(3))
+        for i in range(3):
+            samples.filter((turn == i) | (turn == (i + 1) % 3) & (F.pmod(F.xxhash64("slot"), F.lit(3)) == 0)).write.mode("append").parquet(source)
+            yield source
+
+    return rate_alarms(spark, d, mixed, late_seconds=10 * 366 * 86_400)
 
 
 @query("stream_converge", """

@@ -46,9 +46,16 @@ def counter_rate(
     ``reset_aware`` yields NULL there. With ``drop_zero`` a pair with a zero on either side counts as no pair;
     when several counters are given that makes the single rate NULL.
     """
+    paired = with_step_before(samples, keys, slot, [written, *counters], step_seconds).filter("paired")
+    return paired_rates(paired, keys, slot, written, counters, mode, drop_zero)
+
+
+def paired_rates(
+    paired: DataFrame, keys: Sequence[str], slot: str, written: str, counters: Sequence[str], mode: str = "abs", drop_zero: bool = True
+) -> DataFrame:
+    """``counter_rate`` of samples that already carry ``before_<column>``, a table or a stream."""
     if mode not in ("abs", "reset_aware"):
         raise ValueError("mode is 'abs' or 'reset_aware'")
-    paired = with_step_before(samples, keys, slot, [written, *counters], step_seconds).filter("paired")
     seconds = F.unix_timestamp(F.col(written)) - F.unix_timestamp(F.col(f"before_{written}"))
     out: dict[str, Column] = {}
     any_usable = F.lit(False)

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from fleetloom.operators.config import threshold_join
-from fleetloom.operators.rates import counter_rate
-from fleetloom.operators.upserts import upsert_partial
-from fleetloom.session import drop_folder, pin
+from fleetloom.operators.rates import paired_rates
 
 
 def file_stream(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -62,11 +62,25 @@ def run_to_folder(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
-def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    query: StreamingQuery = (
-        stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+def run_batches(
+    stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", closing: bool = True
+) -> StreamingQuery:
+    """Hand all that is there now to ``each``, batch by batch, and stop; returns the ended query for its progress.
+
+    ``closing`` adds a batch without rows that closes what the newest rows have passed. A stream that closes nothing, such
+    as a join, does without it: the next rows make it forget.
+    """
+    spark, key = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(closing).lower())
+    try:
+        query: StreamingQuery = (
+            stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return query
 
 
 def stream_ingest(path: str) -> Callable[[DataFrame, int], None]:
@@ -78,70 +92,46 @@ def stream_ingest(path: str) -> Callable[[DataFrame, int], None]:
     return each
 
 
-def _state_before(spark: SparkSession, path: str, number: int) -> DataFrame | None:
-    """State as the batch before left it. Only number 0 starts without one."""
-    return None if number == 0 else spark.read.parquet(f"{path}/after={number - 1}")
-
-
-def running_state(state_path: str, keys: Sequence[str], ts: str, done: str) -> Callable[[DataFrame, int], None]:
-    """Batch writer for the last run and done flag per (host, task), kept across runs.
+def stream_rates(
+    stream: DataFrame, *, keys: Sequence[str], slot: str, written: str, counters: Sequence[str], step_seconds: int, late_seconds: int = 0, **options
+) -> DataFrame:
+    """Rates of the counters of a stream of samples, as ``counter_rate`` gives them for a table.
 
-    Each batch writes a new version of the state from the version before it, so repeating one changes nothing.
+    The stream is joined with itself: a sample meets the one a step earlier, whichever of them comes first. Samples may arrive
+    up to ``late_seconds`` and a step behind the newest one, in any order and more than once: the first of a (key, slot) counts,
+    later ones than that are dropped. The join goes by key **and** slot, so one busy key is many groups, and both sides forget a
+    sample once the watermark has passed its partner's time.
     """
-
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.select(*keys, ts, done)
-        before = _state_before(batch.sparkSession, state_path, number)
-        target = batch.sparkSession.createDataFrame([], rows.schema) if before is None else before
-        # A late batch must not move a task back, so the state takes part as an arrival of its own.
-        merged = upsert_partial(target, rows.unionByName(target), keys, [ts, done], [ts, done])
-        merged.write.mode("overwrite").parquet(f"{state_path}/after={number}")
-        # The version before the last is not needed to repeat a batch.
-        drop_folder(batch.sparkSession, f"{state_path}/after={number - 2}")
-
-    return each
+    keys, carry = list(keys), [written, *counters]
+    at = F.unix_timestamp(F.col(slot))
+    wait = f"{late_seconds + step_seconds} seconds"
+    timed = stream.select(*keys, slot, *carry, at.alias("_at"), F.col(slot).cast("timestamp").alias("_ts")).filter(F.col("_ts").isNotNull())
+    once = timed.withWatermark("_ts", wait).dropDuplicatesWithinWatermark([*keys, slot])
+    before = once.select(
+        *[F.col(k).alias(f"_b_{k}") for k in keys], (F.col("_at") + step_seconds).alias("_due"), F.col("_ts").alias("_before"),
+        *[F.col(c).alias(f"before_{c}") for c in carry],
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
+    # The range says the same as the equality, to the second, in the form from which Spark knows how long to keep a row.
+    near = F.expr(f"_ts BETWEEN _before + INTERVAL {step_seconds - 1} SECONDS AND _before + INTERVAL {step_seconds + 1} SECONDS")
+    met = once.join(before, reduce(and_, [*same, F.col("_at") == F.col("_due"), near]))
+    return paired_rates(met, keys, slot, written, counters, **options)
 
 
-def stream_rate_alarm(
-    out_path: str, state_path: str, thresholds: Callable[[SparkSession], DataFrame], *, keys: Sequence[str], slot: str, written: str,
-    counter: str, threshold: str, step_seconds: int, alarm_id: str, end: Column, late_seconds: int = 0,
+def alarm_batches(
+    out_path: str, thresholds: Callable[[SparkSession], DataFrame], *, keys: Sequence[str], slot: str, counter: str, threshold: str,
+    step_seconds: int, alarm_id: str, end: Column,
 ) -> Callable[[DataFrame, int], None]:
-    """Batch writer that turns counter samples into alarms with the thresholds of the moment.
+    """Batch writer that turns rates into alarms with the thresholds of the moment.
 
-    Samples may arrive up to ``late_seconds`` behind the newest one of their key, in any order and more than once: for that
-    long, and one step more, the samples of a key and the alarms already raised are carried along, a sample counts once per
-    (key, slot), and no alarm is raised twice. Later ones are dropped. ``thresholds`` is called for each batch, so changed
-    configuration is taken up without a restart. Only the state of the last two batches is kept.
+    ``thresholds`` is called for each batch, so changed configuration is taken up without a restart. A batch has a folder of
+    its own, so repeating one replaces it; as a rate comes once, so does its alarm.
     """
-    keys = list(keys)
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        samples = batch.select(*keys, slot, written, counter).dropDuplicates([*keys, slot])
-        before = _state_before(spark, f"{state_path}/samples", number)
-        raised = _state_before(spark, f"{state_path}/raised", number)
-        # A sample that is known already is a replay; the first one stays.
-        seen = samples if before is None else before.unionByName(samples.join(before.select(*keys, slot), [*keys, slot], "left_anti"))
-        newest = F.max(F.unix_timestamp(F.col(slot))).alias("_newest")
-        if before is not None:
-            old = before.groupBy(*keys).agg(newest)
-            seen = seen.join(old, keys, "left").filter(
-                F.col("_newest").isNull() | (F.unix_timestamp(F.col(slot)) >= F.col("_newest") - F.lit(late_seconds + step_seconds))
-            ).drop("_newest")
-        seen = pin(seen)
-        rates = counter_rate(seen, keys, slot, written, [counter], step_seconds)
         begin = F.col(slot) - F.expr(f"INTERVAL {int(step_seconds)} SECONDS")
-        alarms = threshold_join(
-            rates, thresholds(spark), keys, f"{counter}_rate", threshold, alarm_id=alarm_id, spread=[*keys, slot], begin=begin, end=end
-        )
-        fresh = alarms if raised is None else alarms.join(raised, [*keys, slot], "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
-        fresh = spark.read.schema(fresh.schema).parquet(f"{out_path}/batch={number}")
-        told = fresh.select(*keys, slot) if raised is None else raised.unionByName(fresh.select(*keys, slot))
-        last = seen.groupBy(*keys).agg(newest)
-        recent = F.unix_timestamp(F.col(slot)) >= F.col("_newest") - F.lit(late_seconds + step_seconds)
-        for name, rows in (("samples", seen), ("raised", told)):
-            rows.join(last, keys).filter(recent).drop("_newest").write.mode("overwrite").parquet(f"{state_path}/{name}/after={number}")
-            drop_folder(spark, f"{state_path}/{name}/after={number - 2}")
+        threshold_join(
+            batch, thresholds(batch.sparkSession), list(keys), f"{counter}_rate", threshold, alarm_id=alarm_id, spread=[*keys, slot], begin=begin, end=end
+        ).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
 
     return each

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetloom.operators import alarms
 from fleetloom.operators.rates import counter_rate
-from fleetloom.streaming import keyed, minutes
+from fleetloom.streaming import keyed, known, minutes
 
 ZERO = dt.datetime(2024, 1, 1)
 
@@ -20,6 +20,10 @@ def add(spark, path, data, schema):
     return spark.read.parquet(path).schema
 
 
+def rates_of(stream, late_seconds=0):
+    return minutes.stream_rates(stream, keys=["k"], slot="slot", written="written", counters=["c"], step_seconds=60, late_seconds=late_seconds)
+
+
 def test_minute_slots_over_two_runs(spark, tmp_path, rows):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     schema = "k string, ts timestamp_ntz"
@@ -51,28 +55,64 @@ def test_first_segment_is_respected(spark, tmp_path):
 
 
 def test_rate_alarm_same_as_batch(spark, tmp_path, rows):
-    src, out, state, cp = (str(tmp_path / x) for x in ("src", "out", "state", "cp"))
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     schema = "k string, slot timestamp_ntz, written timestamp_ntz, c long"
     parts = [[("a", at(0), at(1), 100)], [("a", at(60), at(61), 1000), ("b", at(60), at(61), 5)], [("a", at(120), at(121), 1060), ("b", at(120), at(121), 6005)]]
     limits = lambda session: session.createDataFrame([("a", 10.0), ("b", 50.0)], "k string, threshold double")
-    each = minutes.stream_rate_alarm(out, state, limits, keys=["k"], slot="slot", written="written", counter="c", threshold="threshold", step_seconds=60, alarm_id="110", end=F.col("slot"))
+    each = minutes.alarm_batches(out, limits, keys=["k"], slot="slot", counter="c", threshold="threshold", step_seconds=60, alarm_id="110", end=F.col("slot"))
     for part in parts:
         s = add(spark, src, part, schema)
-        minutes.run_batches(minutes.file_stream(spark, src, s), each, cp)
+        minutes.run_batches(rates_of(minutes.file_stream(spark, src, s)), each, cp, closing=False)
     got = rows(spark.read.option("basePath", out).parquet(out), "k", "slot", "c_rate")
     whole = counter_rate(spark.read.parquet(src), ["k"], "slot", "written", ["c"], 60).join(limits(spark), "k").filter("c_rate > threshold")
     assert got == rows(whole, "k", "slot", "c_rate") == [("a", at(60), 15.0), ("b", at(120), 100.0)]
 
 
-def test_running_state_takes_late_reports_in_order(spark, tmp_path, rows):
-    src, state, cp = (str(tmp_path / x) for x in ("src", "state", "cp"))
+def heartbeats(spark, src, cp, parts, **options):
     schema = "host string, task string, ts timestamp_ntz, is_done boolean"
-    each = minutes.running_state(state, ["host", "task"], "ts", "is_done")
-    last = []
-    for part in ([("h", "t", at(10), True), ("h", "u", at(5), False)], [("h", "t", at(8), False), ("h", "u", at(9), True)]):
+    for part in parts:
         s = add(spark, src, part, schema)
-        minutes.run_batches(minutes.file_stream(spark, src, s), lambda df, n: (each(df, n), last.append(n)), cp)
-    assert rows(spark.read.parquet(f"{state}/after={last[-1]}"), "task", "ts", "is_done") == [("t", at(10), True), ("u", at(9), True)]
+        query = known.run_last_known(minutes.file_stream(spark, src, s), ["host", "task"], "ts", ["is_done"], cp, **options)
+    return query
+
+
+def seen(spark, cp):
+    zero = dt.datetime(1970, 1, 1)
+    return sorted((r["task"], zero + dt.timedelta(microseconds=r["last_us"]), r["is_done"]) for r in known.known_now(spark, cp).collect())
+
+
+def test_running_state_takes_late_reports_in_order(spark, tmp_path):
+    src, cp = (str(tmp_path / x) for x in ("src", "cp"))
+    heartbeats(spark, src, cp, [[("h", "t", at(10), True), ("h", "u", at(5), False)], [("h", "t", at(8), False), ("h", "u", at(9), True)]])
+    assert seen(spark, cp) == [("t", at(10), True), ("u", at(9), True)]
+
+
+def test_running_state_keeps_a_value_that_a_later_report_lacks(spark, tmp_path):
+    src, cp = (str(tmp_path / x) for x in ("src", "cp"))
+    parts = [[("h", "t", at(10), None), ("h", "u", at(3), True), ("h", "u", at(4), None)], [("h", "t", at(8), False), ("h", "t", at(8), True), ("h", "t", None, False)]]
+    heartbeats(spark, src, cp, parts)
+    assert seen(spark, cp) == [("t", at(10), True), ("u", at(4), True)]
+
+
+def test_running_state_batch_costs_its_own_keys_and_repeats_nothing(spark, tmp_path):
+    src, cp, changes = (str(tmp_path / x) for x in ("src", "cp", "changes"))
+    many = [(f"h{i}", "t", at(i), False) for i in range(40)]
+    query = heartbeats(spark, src, cp, [many, [("h7", "t", at(100), True)]], changes=changes)
+    assert query.lastProgress["stateOperators"][0]["numRowsUpdated"] == 1
+    assert [r["host"] for r in spark.read.parquet(f"{changes}/batch=1").collect()] == ["h7"]
+    before = seen(spark, cp)
+    # The commit of the last batch is lost: it is run again, from the state before it.
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink(missing_ok=True)
+    heartbeats(spark, src, cp, [[("h8", "t", at(101), True)]], changes=changes)
+    assert [r["host"] for r in spark.read.parquet(f"{changes}/batch=1").collect()] == ["h7"]
+    assert set(seen(spark, cp)) - set(before) == {("t", at(101), True)} and len(seen(spark, cp)) == 40
+
+
+def test_running_state_forgets_keys_that_stay_silent(spark, tmp_path):
+    src, cp = (str(tmp_path / x) for x in ("src", "cp"))
+    heartbeats(spark, src, cp, [[("h", "t", at(0), True), ("h", "u", at(90), True)], [("h", "u", at(200), False)]], forget_seconds=100)
+    assert seen(spark, cp) == [("u", at(200), False)]
 
 
 def test_dedup_within_the_wait(spark, tmp_path, rows):
@@ -103,22 +143,31 @@ def test_gap_stream(spark, tmp_path):
 
 
 def test_rate_alarm_with_late_and_repeated_samples(spark, tmp_path, rows):
-    src, out, state, cp = (str(tmp_path / x) for x in ("src", "out", "state", "cp"))
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     schema = "k string, slot timestamp_ntz, written timestamp_ntz, c long"
     sample = lambda m, c: ("a", at(60 * m), at(60 * m + 1), c)
     parts = [[sample(60, 100), sample(62, 9000)], [sample(61, 4000)], [sample(61, 4000), sample(62, 9000)], [sample(63, 9001)], [sample(1, 5), sample(2, 900_000)]]
     limits = lambda session: session.createDataFrame([("a", 10.0)], "k string, threshold double")
-    each = minutes.stream_rate_alarm(
-        out, state, limits, keys=["k"], slot="slot", written="written", counter="c", threshold="threshold", step_seconds=60, alarm_id="110",
-        end=F.col("slot"), late_seconds=300,
-    )
+    each = minutes.alarm_batches(out, limits, keys=["k"], slot="slot", counter="c", threshold="threshold", step_seconds=60, alarm_id="110", end=F.col("slot"))
     for part in parts:
         s = add(spark, src, part, schema)
-        minutes.run_batches(minutes.file_stream(spark, src, s), each, cp)
+        minutes.run_batches(rates_of(minutes.file_stream(spark, src, s), late_seconds=300), each, cp)
     got = rows(spark.read.option("basePath", out).parquet(out), "k", "slot")
     # The pair of the late sample is found, nothing is told twice, and what is later than allowed is dropped.
     assert got == [("a", at(60 * 61)), ("a", at(60 * 62))]
-    assert len(list((tmp_path / "state" / "samples").glob("after=*"))) == 2
+
+
+def test_rate_stream_forgets_what_has_passed(spark, tmp_path):
+    src, cp = (str(tmp_path / x) for x in ("src", "cp"))
+    schema, found, held = "k string, slot timestamp_ntz, written timestamp_ntz, c long", [], []
+    for part in range(3):
+        s = add(spark, src, [(k, at(60 * m), at(60 * m + 1), 100 * m * m + 1) for k in ("a", "b", None) for m in range(100 * part, 100 * part + 100)], schema)
+        rates = rates_of(minutes.file_stream(spark, src, s), late_seconds=120)
+        query = minutes.run_batches(rates, lambda df, n: found.extend(df.select("k", "slot").collect()), cp)
+        held.append(sum(o["numRowsTotal"] for o in query.lastProgress["stateOperators"]))
+    # Every sample but the first of each key has its rate, also across starts; what is held does not grow with what was seen.
+    assert len(found) == len(set(found)) == 3 * 299
+    assert max(held) <= held[0] and held[-1] < 100
 
 
 def test_table_stream_takes_a_file_and_a_folder(spark, tmp_path):
