@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from fleetloom.catalogue.registry import query, table
+from fleetloom.functions.skew import number_rows
 from fleetloom.operators import chains, reconcile, shards
 from fleetloom.plans.estate_sync import sync_backup_info
 from fleetloom.operators.tables import name_age_filter, positions_equal, project_catalogue, role_and_lag, shard_match
@@ -170,6 +171,21 @@ def walk_chain(spark, d):
     return chains.walk_chain(edges(spark, d), "child", "parent", "lag", 3)
 
 
+@query("walk_deep_chain", """
+WITH o AS (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
+SELECT k AS node, min(k) OVER () AS root, n - 1 AS depth, 'top' AS ended,
+  CASE WHEN n % 1000 = 7 AND n < 3000 THEN (SELECT string_agg(b.k::VARCHAR, '>' ORDER BY b.n DESC) FROM o b WHERE b.n <= o.n) END AS path
+FROM o
+""")
+def walk_deep_chain(spark, d):
+    """One chain of all orders, each below the one before it; the paths of a few are asked for."""
+    numbered = number_rows(table(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+    before = numbered.select(F.col("o_orderkey").alias("parent"), (F.col("row_no") + 1).alias("row_no"))
+    links = numbered.withColumnRenamed("o_orderkey", "child").join(before, "row_no").select("child", "parent", F.lit(0).alias("lag"))
+    asked = numbered.filter("row_no % 1000 = 7 AND row_no < 3000").select("o_orderkey")
+    return chains.walk_chain(links, "child", "parent", "lag", 3, paths=asked)
+
+
 @query("promote_grandparent", f"""
 WITH {EDGES}
 SELECT a.child, a.parent, b.parent AS proposed FROM edge a JOIN edge b ON a.parent = b.child WHERE a.lag < 3 AND b.lag < 3

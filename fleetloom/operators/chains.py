@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.skew import lookup_join
+from fleetloom.functions.skew import is_small, lookup_join
 from fleetloom.session import pin
 
 
@@ -14,13 +16,49 @@ def healthy_edges(edges: DataFrame, child: str, parent: str, lag: str, max_lag:
     return edges.filter(F.col(lag).try_cast("long") < max_lag).select(F.col(child).alias("node"), F.col(parent).alias("up"))
 
 
-def walk_chain(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int = 3, max_broadcast_rows: int = 100_000) -> DataFrame:
-    """Root, depth and path of every node: ``node, root, depth, path, ended``.
+def walk_chain(
+    edges: DataFrame, child: str, parent: str, lag: str, max_lag: int = 3, max_broadcast_rows: int = 100_000, paths: DataFrame | bool = True
+) -> DataFrame:
+    """Root and depth of every node: ``node, root, depth, path, ended``.
 
     A child has one edge. The walk follows a hop only while its lag is below the limit. ``ended`` says why it stops:
     ``top`` (no edge above), ``lag`` (an edge that may not be followed) or ``cycle``. Each round every node takes over
-    the walk of the node it has reached, so depth d needs log2(d) rounds; a path that repeats a node is a cycle.
+    the walk of the node it has reached, so round r has ancestors 2^r hops up, in rows of one size whatever the depth. Who has
+    not ended once the hops outnumber the nodes is in a cycle or below one, and has no root, depth or path.
+
+    ``paths`` names the nodes whose path is wanted (its first column; True means all, False none). A path is put together from the
+    ancestors of all rounds; for other nodes it is NULL.
     """
+    table = pin(_first_hops(edges, child, parent, lag, max_lag))
+    parts, n = table.rdd.getNumPartitions(), table.count()
+    # Rows keep their number and size, so they are measured once.
+    small = is_small(table, max_broadcast_rows)
+    rounds = [table]
+    while 1 << (len(rounds) - 1) <= n:
+        active = table.filter(F.col("ended").isNull())
+        if active.isEmpty():
+            break
+        above = table.select(F.col("node").alias("at"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("ended").alias("_ended"))
+        # Many nodes may have reached the same one: the join spreads them.
+        moved = active.join(F.broadcast(above), "at") if small else lookup_join(active, above, ["at"], "inner", spread=["node"], max_broadcast_rows=0)
+        moved = moved.select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_hops")).alias("hops"), F.col("_ended").alias("ended"))
+        # The rows are as many as before, so their partitions need not grow with the rounds.
+        table = pin(table.filter(F.col("ended").isNotNull()).unionByName(moved).coalesce(parts))
+        rounds.append(table)
+    acyclic = F.col("ended").isNotNull()
+    found = table.select(
+        "node", F.when(acyclic, F.col("at")).alias("root"), F.when(acyclic, F.col("hops")).alias("depth"), F.coalesce("ended", F.lit("cycle")).alias("ended")
+    )
+    if paths is False:
+        return found.select("node", "root", "depth", F.lit(None).cast("string").alias("path"), "ended")
+    wanted = table.filter(acyclic).select("node")
+    if paths is not True:
+        wanted = lookup_join(wanted, paths.select(F.col(paths.columns[0]).alias("node")).distinct(), ["node"], "left_semi", spread=["node"], derived=True)
+    return found.join(chain_paths(rounds, wanted, small), "node", "left").select("node", "root", "depth", "path", "ended")
+
+
+def _first_hops(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int) -> DataFrame:
+    """(node, at, hops, ended): every node with the hop above it that may be followed, or why there is none."""
     follow = F.when(F.col(lag).try_cast("long") < max_lag, F.col(parent))
     ends = F.array(
         F.struct(F.col(child).alias("node"), follow.alias("up"), F.lit(1).alias("edge")),
@@ -30,38 +68,31 @@ def walk_chain(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int
         F.max("e.up").alias("up"), F.sum("e.edge").alias("_n")
     )
     two = F.raise_error(F.concat(F.lit("more than one source for "), F.col("node").cast("string")))
-    start = nodes.select(
+    return nodes.select(
         "node", F.when(F.col("_n") > 1, two.cast(edges.schema[child].dataType)).otherwise(F.coalesce("up", "node")).alias("at"),
-        F.when(F.col("up").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.col("up").cast("string"))).alias("path"),
-        F.when(F.col("up").isNotNull(), F.lit(None).cast("string"))
-        .when(F.col("_n") == 1, "lag").otherwise("top").alias("ended"),
-    )
-    table = pin(start)
-    parts = table.rdd.getNumPartitions()
-    while True:
-        active = table.filter(F.col("ended").isNull())
-        if active.isEmpty():
-            break
-        above = table.select(
-            F.col("node").alias("at"), F.col("at").alias("_at"), F.col("path").alias("_path"), F.col("ended").alias("_ended")
-        )
-        # Many nodes may have reached the same one: the join spreads them.
-        moved = lookup_join(active, above, ["at"], "left", spread=["node"], max_broadcast_rows=max_broadcast_rows)
-        path = F.concat("path", "_path")
-        walked = F.concat(F.array(F.col("node").cast("string")), path)
-        moved = moved.select(
-            "node", F.col("_at").alias("at"), path.alias("path"),
-            F.when(F.size(F.array_distinct(walked)) < F.size(walked), "cycle").otherwise(F.col("_ended")).alias("ended"),
-        )
-        # The rows are as many as before, so their partitions need not grow with the rounds.
-        table = pin(table.filter(F.col("ended").isNotNull()).unionByName(moved).coalesce(parts))
-    cyclic = F.col("ended") == "cycle"
-    return table.select(
-        "node", F.when(~cyclic, F.col("at")).alias("root"), F.when(~cyclic, F.size("path").cast("long")).alias("depth"),
-        F.when(~cyclic, F.concat_ws(">", F.concat(F.array(F.col("node").cast("string")), F.col("path")))).alias("path"), "ended",
+        F.col("up").isNotNull().cast("long").alias("hops"),
+        F.when(F.col("up").isNotNull(), F.lit(None).cast("string")).when(F.col("_n") == 1, "lag").otherwise("top").alias("ended"),
     )
 
 
+def chain_paths(rounds: Sequence[DataFrame], wanted: DataFrame, small: bool = False) -> DataFrame:
+    """(node, path) of the ``wanted`` nodes, each above the one before, joined by ``>``.
+
+    ``rounds`` are tables (node, at, hops) with the ancestor 2^r hops up in the r-th, where there is one. From the highest
+    round down, every place known on a path gives the one 2^r hops above it, so a path of d hops takes log2(d) joins; a row is one
+    place on one path.
+    """
+    places = wanted.select("node", F.lit(0).cast("long").alias("place"), F.col("node").alias("on"))
+    for r, table in reversed(list(enumerate(rounds))):
+        jump = table.filter(F.col("hops") == 1 << r).select(F.col("node").alias("on"), F.col("at").alias("_at"))
+        met = places.join(F.broadcast(jump), "on") if small else lookup_join(places, jump, ["on"], "inner", spread=["node", "place"], max_broadcast_rows=0)
+        more = met.select("node", (F.col("place") + (1 << r)).alias("place"), F.col("_at").alias("on"))
+        # Dealt out anew, as the union would double the partitions each time.
+        places = pin(places.unionByName(more).hint("rebalance"))
+    on = F.array_sort(F.collect_list(F.struct("place", F.col("on").cast("string").alias("on"))))
+    return places.groupBy("node").agg(F.array_join(F.transform(on, lambda x: x["on"]), ">").alias("path"))
+
+
 def promote_grandparent(edges: DataFrame, child: str, parent: str, lag: str, max_lag: int = 3, max_broadcast_rows: int = 100_000) -> DataFrame:
     """For each child with two healthy hops above it: the present parent and the proposed one."""
     good = healthy_edges(edges, child, parent, lag, max_lag)

@@ -67,6 +67,20 @@ def test_walk_chain_cycle_and_depth(spark):
         walk(spark, [("a", "b", "0"), ("a", "c", "0")])
 
 
+def test_walk_chain_of_some_thousand_hops_and_asked_paths(spark):
+    n = 3000
+    rows = [(str(i), str(i + 1), "0") for i in range(n)] + [(f"c{i}", f"c{(i + 1) % 700}", "0") for i in range(700)] + [("below", "c5", "0"), ("off", "4", "7")]
+    df = spark.createDataFrame(rows, "child string, parent string, lag string")
+    asked = spark.createDataFrame([("2990",), ("3000",), ("c1",), ("off",), ("nobody",), ("2990",), (None,)], "which string")
+    got = {r["node"]: (r["root"], r["depth"], r["path"], r["ended"]) for r in chains.walk_chain(df, "child", "parent", "lag", 3, paths=asked).collect()}
+    assert len(got) == n + 1 + 702
+    assert all(got[str(i)] == ("3000", n - i, None, "top") for i in range(n) if i != 2990)
+    assert got["2990"] == ("3000", 10, ">".join(str(i) for i in range(2990, 3001)), "top") and got["3000"][2] == "3000"
+    assert {got[x] for x in ("c0", "c699", "below", "c1")} == {(None, None, None, "cycle")} and got["off"] == ("off", 0, "off", "lag")
+    none = chains.walk_chain(df, "child", "parent", "lag", 3, paths=False)
+    assert none.filter("path IS NOT NULL").count() == 0 and none.count() == len(got)
+
+
 def test_promote_grandparent(spark, rows):
     df = spark.createDataFrame([("d", "c", 0), ("c", "b", 2), ("b", "a", 3), ("e", "d", 0)], "child string, parent string, lag int")
     for broadcast in (100_000, 0):
