@@ -87,6 +87,42 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+_SCAN = re.compile(r"^[\s+:\-]*(Relation\b.*\bparquet|(Project|Filter|SubqueryAlias|View)\b)")
+MOST_FILES = 200_000  # file names to broadcast
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or it with underscores in front, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def replayable(df: DataFrame) -> DataFrame:
+    """A scan of files as it is; anything else is written first, so that it reads the same each time."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return df if all(_SCAN.match(x) for x in plan.splitlines() if x.strip()) else write_out(df, "rows")
+
+
+def stable_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
+    """Add a row id that a row has in every job, whatever the executors and partitions at that moment.
+
+    The id is the row's place: the number of its file, in order of name, and its index in the file. Beyond ``MOST_FILES``
+    files the rows are written together with their ids.
+    """
+    df = replayable(df)
+    meta = df.metadataColumn("_metadata")
+    files = sorted(r[0] for r in df.select(meta["file_path"]).distinct().limit(MOST_FILES + 1).collect())
+    if len(files) > MOST_FILES:
+        return write_out(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+    file, index, number = (free_name(df, x) for x in ("file_path", "row_index", "file_number"))
+    numbers = df.sparkSession.createDataFrame(list(enumerate(files)), f"`{number}` long, `{file}` string")
+    placed = df.select("*", meta["file_path"].alias(file), meta["row_index"].alias(index)).join(F.broadcast(numbers), file)
+    place = F.shiftleft(F.col(number), 40).bitwiseOR(F.col(index))
+    return placed.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(name))
+
+
 def task_total(df: DataFrame, column: Column) -> int:
     """Sum of a column over the whole frame (0 when empty)."""
     return int(df.agg(F.coalesce(F.sum(column), F.lit(0))).first()[0])

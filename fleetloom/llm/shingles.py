@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.common import bytes_of, components, discard, lower_ascii, mix64, with_row_id, write_out
+from fleetloom.llm.common import bytes_of, components, discard, free_name, lower_ascii, mix64, replayable, stable_row_id, write_out
 from fleetloom.session import ship_package
 
 SHINGLE, SKETCHES, KEEP = 5, 10, 2
@@ -292,7 +292,7 @@ def near_duplicates(
     """
     spark = df.sparkSession
     ship_package(spark)
-    rows = with_row_id(df.select(F.col(doc_id).cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("body")))
+    rows = stable_row_id(df.select(F.col(doc_id).cast("long").alias("doc_id"), lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("body")))
     # The id is of the words alone; two SHA-256 halves would be no safer than its first 16 bytes.
     words = F.trim(F.regexp_replace("body", r"[\x20\x09-\x0D]+", " "))
     rows = rows.select("rid", "doc_id", words.alias("body")).withColumn("id", F.substring(F.unhex(F.sha2("body", 256)), 1, 16))
@@ -329,6 +329,6 @@ def near_duplicates(
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``df`` that ``near_duplicates`` keeps, with all their columns."""
-    rows = with_row_id(df, "_rid")
-    kept = near_duplicates(rows.drop("_rid"), text, doc_id, **options).filter("kept").select(F.col("rid").alias("_rid"))
-    return rows.join(kept, "_rid").drop("_rid")
+    df, rid = replayable(df), free_name(df, "_rid")
+    kept = near_duplicates(df, text, doc_id, **options).filter("kept").select(F.col("rid").alias(rid))
+    return stable_row_id(df, rid).join(kept, rid).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.llm.common import _MADE, with_row_id, write_out
+from fleetloom.llm.common import _MADE, stable_row_id, write_out
 from fleetloom.session import ship_package, work_folder
 
 CRLF = "\r\n"
@@ -56,7 +56,7 @@ def write_archives(
     is larger than any other; where a payload has only null ids, all are responses.
     """
     spark = df.sparkSession
-    rows = with_row_id(df.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body")))
+    rows = stable_row_id(df.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("body")))
     rows = rows.withColumn("digest", base32_sha1(F.col("body").cast("binary"))).withColumn("key", F.sha2("body", 256)).withColumn("n", F.octet_length("body"))
     rows = rows.withColumn("id", _urn(F.lit("record"), "page_id", "rid"))
     # One row per payload and map task leaves the scan, so many copies make no large group.
