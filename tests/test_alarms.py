@@ -18,20 +18,38 @@ def loop(times, hold):
     return sent
 
 
-@given(st.lists(st.integers(0, 2_000), max_size=80), st.integers(1, 200), st.integers(0, 300))
-@settings(max_examples=300, deadline=None)
-def test_slices_compose_to_the_loop(times, hold, more):
-    """The summaries of the slices, walked in order, give every slice the state the loop would enter it with."""
-    length = hold + more
+def stretches(times, hold, length):
+    """Alarms by slice, and the summary of every slice."""
     parts = {}
     for t in sorted(set(times)):
         parts.setdefault(t // length, []).append(t)
-    summaries = []
+    found = []
     for n, part in parts.items():
         starts, ends = alarms.slice_exits(np.array(part), n * length, hold)
-        summaries.append({"_slice": n, "_starts": starts, "_ends": ends})
+        found.append({"_slice": n, "_first": n, "_t": starts, "_e": ends + hold})
+    return parts, found
+
+
+def joined(parts, hold, length):
+    first, t, e = alarms.joined_steps(parts, hold, length)
+    return {"_slice": first, "_first": first, "_t": t, "_e": e}
+
+
+@given(st.lists(st.integers(0, 2_000), max_size=80), st.integers(1, 200), st.integers(0, 300), st.randoms(use_true_random=False))
+@settings(max_examples=300, deadline=None)
+def test_slices_compose_to_the_loop(times, hold, more, rnd):
+    """Joined in any nesting, the slices before one give the state the loop would enter it with."""
+    length = hold + more
+    parts, summaries = stretches(times, hold, length)
     got = []
-    for n, allowed in alarms.slice_entries(summaries, hold):
+    for i, n in enumerate(parts):
+        before, allowed = summaries[:i], alarms.NEVER
+        while len(before) > 1:
+            at = rnd.randrange(len(before) - 1)
+            before[at : at + 2] = [joined(before[at : at + 2], hold, length)]
+        for p in before:
+            assert len(p["_t"]) <= len(summaries[0]["_t"]) + 1
+            allowed = int(alarms.allowed_after(p["_t"], p["_e"], allowed))
         got += alarms.sent_times(np.array(parts[n]), hold, allowed).tolist()
     assert got == loop(times, hold)
 
@@ -46,13 +64,31 @@ def frame(spark, n=600):
 def test_converge_exact_matches_the_loop(spark):
     data, df = frame(spark)
     us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
-    for slice_seconds, hot_rows in ((0, 10**6), (0, 0), (900, 0), (10**6, 0)):
-        out = alarms.converge_exact(df, ["k"], "ts", 300, slice_seconds, hot_share=3, hot_min_rows=hot_rows)
+    for slice_seconds, hot_rows, fan in ((0, 10**6, 64), (0, 0, 3), (900, 0, 64), (10**6, 0, 64)):
+        out = alarms.converge_exact(df, ["k"], "ts", 300, slice_seconds, hot_share=3, hot_min_rows=hot_rows, fan=fan)
         got = sorted(((r["k"], r["sent_us"]) for r in out.collect()), key=repr)
         want = [(k, t) for k in {d[0] for d in data} for t in loop([us(d[1]) for d in data if d[0] == k], 300_000_000)]
         assert got == sorted(want, key=repr)
 
 
+def test_no_group_holds_more_slices_than_the_fan(spark, monkeypatch):
+    """One key with hundreds of slices: what is joined or walked in one group is counted."""
+    called, over = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    real = alarms.joined_steps
+
+    def watched(parts, hold, length):
+        called.add(1)
+        over.add(int(len(parts) > 8))
+        return real(parts, hold, length)
+
+    monkeypatch.setattr(alarms, "joined_steps", watched)
+    data = [("k", START + dt.timedelta(seconds=7 * i + i % 5), i) for i in range(3000)]
+    out = alarms.converge_exact(spark.createDataFrame(data, "k string, ts timestamp_ntz, id long"), ["k"], "ts", 50, 50, hot_share=3, hot_min_rows=0, fan=8)
+    us = lambda t: int((t - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    assert sorted(r["sent_us"] for r in out.collect()) == loop([us(d[1]) for d in data], 50_000_000)
+    assert called.value > 50 and over.value == 0
+
+
 def test_converge_count(spark):
     data, df = frame(spark)
     got = {(r["k"], r["id"]) for r in alarms.converge_count(df, ["k"], "ts", ["id"], 10).collect()}
