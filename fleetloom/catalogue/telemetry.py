@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from fleetloom.catalogue import registry
 from fleetloom.catalogue.registry import query, table
-from fleetloom.functions.skew import ordinal_in_key
+from fleetloom.functions.skew import lookup_join, ordinal_in_key
 from fleetloom.operators import alarms, digest, gaps, rates
 from fleetloom.operators.tables import pivot_whitelist, threshold_breach, unpivot_metrics
 from fleetloom.plans.alarm_path import rate_alarms
+from fleetloom.session import pin
 from fleetloom.whitelists import RATE_GROUPS
 
 EVENT_TYPES = ["click", "view", "error", "signup", "purchase"]
@@ -422,6 +423,30 @@ def digest_percentile(spark, d):
     return out.select("fingerprint", "calls", "metric_min", "metric_max", "metric_pct")
 
 
+@query("digest_daily", """
+SELECT event_type AS fingerprint, epoch_us(date_trunc('day', ts)) // 1000000 AS slot_epoch, count(*) AS calls, min(value) AS metric_min, max(value) AS metric_max,
+  epoch_us(min(ts)) // 1000000 AS first_seen, epoch_us(max(ts)) // 1000000 AS last_seen, true AS pct_close, true AS users_close
+FROM events GROUP BY 1, 2
+""")
+def digest_daily(spark, d):
+    """Days merged from hourly history. The 95th percentile and the users of a day are held against the events themselves."""
+    ev = table(spark, d, "events")
+    hourly = digest.digest_history(ev, "event_type", "ts", "value", [], 3_600, "user_id")
+    daily = pin(digest.digest_read(digest.digest_merge(hourly, [], 86_400)))
+    day = (F.floor(F.unix_timestamp("ts") / 86_400) * 86_400).cast("long").alias("slot_epoch")
+    events, limits = ev.select(F.col("event_type").alias("fingerprint"), day, "event_id", "user_id", "value"), daily.select("fingerprint", "slot_epoch", "metric_pct")
+    at = lookup_join(events, limits, ["fingerprint", "slot_epoch"], "inner", spread=["event_id"])
+    exact = at.groupBy("fingerprint", "slot_epoch").agg(
+        F.avg((F.col("value") < F.col("metric_pct")).cast("double")).alias("below"), F.avg((F.col("value") <= F.col("metric_pct")).cast("double")).alias("up_to"),
+        F.count_distinct("user_id").alias("users"),
+    )
+    close = (F.col("below") <= 0.96) & (F.col("up_to") >= 0.94)
+    users = F.abs(F.col("who_count") - F.col("users")) <= 2 + 0.08 * F.col("users")
+    return daily.join(exact, ["fingerprint", "slot_epoch"]).select(
+        "fingerprint", "slot_epoch", "calls", "metric_min", "metric_max", "first_seen", "last_seen", close.alias("pct_close"), users.alias("users_close")
+    )
+
+
 @query("digest_review", """
 WITH f AS (SELECT trim(regexp_replace(regexp_replace(lower(url), '[0-9]+', '?', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) AS fingerprint, page_id FROM pages)
 SELECT fingerprint, min(page_id) AS first_seen, max(page_id) AS last_seen FROM f GROUP BY 1

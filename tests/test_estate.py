@@ -108,6 +108,31 @@ def test_shard_union_from_files(spark, tmp_path, rows):
     assert rows(shards.shard_union([spark.read.parquet(str(tmp_path / p)) for p in ("s1", "s2")]), "id", "c") == [(1, "a"), (2, None)]
 
 
+def test_history_merges_to_days_and_to_all_time(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [(f"select {i}", 60 * i, rng.expovariate(1 / 50), rng.randrange(1500), "s%d" % (i % 2)) for i in range(20_000)]
+    data += [("rare 1", 5, None, None, "s0"), ("rare 2", 90_000, 7.0, 3, "s1"), ("", 5, 1.0, 1, "s0"), (None, 5, 1.0, 1, "s0")]
+    df = spark.createDataFrame(data, "text string, at long, metric double, who long, source string").withColumn("ts", F.timestamp_seconds("at"))
+    hourly = digest.digest_history(df, "text", "ts", "metric", ["source"], 3_600, "who")
+    daily = digest.digest_merge(hourly, [], 86_400)
+    found = {(r["fingerprint"], r["slot_epoch"] // 86_400): r for r in digest.digest_read(daily).collect()}
+    for day in range(14):
+        mine = [d for d in data[:20_000] if d[1] // 86_400 == day]
+        r = found["select ?", day]
+        assert (r["calls"], r["metric_min"], r["metric_max"]) == (len(mine), min(d[2] for d in mine), max(d[2] for d in mine))
+        assert abs(sum(d[2] <= r["metric_pct"] for d in mine) / len(mine) - 0.95) < 0.01
+        users = len({d[3] for d in mine})
+        assert abs(r["who_count"] - users) <= 0.08 * users
+    assert len(found) == 16 and found["rare ?", 0]["metric_pct"] is None and found["rare ?", 0]["who_count"] == 0
+    # Hours to days to all time is hours to all time; the distribution of all is still right.
+    for all_time in (digest.digest_merge(daily, []), digest.digest_merge(hourly, [])):
+        (r,) = digest.digest_read(all_time, 0.5).filter("fingerprint = 'select ?'").collect()
+        assert r["calls"] == 20_000 and abs(sum(d[2] <= r["metric_pct"] for d in data[:20_000]) / 20_000 - 0.5) < 0.01
+    assert digest.digest_read(digest.digest_merge(digest.digest_history(df.limit(0), "text", "ts", "metric", [], 60), [], 86_400)).collect() == []
+
+
 def test_digest(spark, rows):
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
     df = spark.createDataFrame([
