@@ -58,6 +58,40 @@ def stream_minute_counts(spark, d):
     return spark.read.parquet(out).select("event_type", F.unix_timestamp("slot_start").alias("slot_start"), "samples")
 
 
+CADENCES = {"1 second": 1, "1 minute": 60, "5 minutes": 300, "1 hour": 3_600, "1 day": 86_400}
+
+
+def cadence_sql():
+    """Slots of each cadence from those of the one before; one is closed when a finer one that begins after it is."""
+    parts, names = ["w AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 60000000 AS m FROM events)"], list(CADENCES)
+    for i, name in enumerate(names):
+        size = CADENCES[name] * 1_000_000
+        rows = "SELECT event_type, epoch_us(ts) AS us, 1 AS n FROM events" if i == 0 else f"SELECT event_type, e - 1 AS us, n FROM c{i - 1}"
+        closed = "e <= (SELECT m FROM w)" if i == 0 else f"e < (SELECT max(e) FROM c{i - 1})"
+        parts.append(f"c{i} AS (SELECT * FROM (SELECT event_type, us // {size} * {size} + {size} AS e, sum(n)::BIGINT AS n FROM ({rows}) GROUP BY 1, 2) WHERE {closed})")
+    tops = [f"SELECT '{name}' AS cadence, event_type, e // 1000000 - {CADENCES[name]} AS slot_start, n AS samples FROM c{i}" for i, name in enumerate(names)]
+    return "WITH " + ",\n".join(parts) + "\n" + " UNION ALL ".join(tops)
+
+
+@query("stream_cadences", cadence_sql())
+def stream_cadences(spark, d):
+    """Seconds, minutes, five minutes, hours and days of the event stream, from one scan of it."""
+    found = minutes.run_cadences(event_stream(spark, d), "ts", ["event_type"], list(CADENCES), work_folder(spark, "cadences"))
+    return found.select("cadence", "event_type", F.unix_timestamp("slot_start").alias("slot_start"), "samples")
+
+
+@query("stream_chained_days", """
+WITH w AS (SELECT epoch_us(max(ts)) // 1000 * 1000 - 60000000 AS m FROM events)
+SELECT event_type, epoch_us(date_trunc('day', ts)) // 1000000 AS slot_start, count(*) AS samples FROM events
+WHERE epoch_us(date_trunc('day', ts)) + 86400000000 <= (SELECT m FROM w) GROUP BY 1, 2
+""")
+def stream_chained_days(spark, d):
+    """Days made of hours made of minutes, in one query."""
+    out, work = work_folder(spark, "days"), work_folder(spark, "days-checkpoint")
+    minutes.run_to_folder(minutes.chained_slots(event_stream(spark, d), "ts", ["event_type"], ["1 minute", "1 hour", "1 day"]), out, work)
+    return spark.read.parquet(out).select("event_type", F.unix_timestamp("slot_start").alias("slot_start"), "samples")
+
+
 @query("stream_dedup", "SELECT event_id, user_id, value FROM events")
 def stream_dedup(spark, d):
     """The events, each written twice; one of each comes out."""

@@ -46,6 +46,42 @@ def minute_slots(stream: DataFrame, ts: str, keys: Sequence[str], slot: str = "1
     )
 
 
+def chained_slots(stream: DataFrame, ts: str, keys: Sequence[str], cadences: Sequence[str], late: str = "1 minute") -> DataFrame:
+    """Counts per key and slot of the last cadence, each made of the slots of the one before it, in one append query.
+
+    A late sample is kept or dropped where the first slots are counted, so every cadence agrees on it.
+    """
+    timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    slots = timed.groupBy(F.window("_ts", cadences[0]).alias("_w"), *keys).agg(F.count("*").alias("samples"))
+    for cadence in cadences[1:]:
+        slots = slots.groupBy(F.window(F.window_time("_w"), cadence).alias("_w"), *keys).agg(F.sum("samples").alias("samples"))
+    return slots.select(*keys, F.col("_w.start").alias("slot_start"), F.col("_w.end").alias("slot_end"), "samples")
+
+
+def run_cadences(stream: DataFrame, ts: str, keys: Sequence[str], cadences: Sequence[str], path: str, late: str = "1 minute") -> DataFrame:
+    """All cadences from one scan of the stream: (cadence, keys, slot_start, slot_end, samples) of the slots closed so far.
+
+    The first cadence is counted from the samples and written; each further one follows the closed slots of the one before it,
+    as a stream of its own, so it reads and holds slots only. Closed slots come in order of time, so none is late there; a slot
+    is closed once one of the finer cadence that begins after it is. Takes all that is there and stops; the next call goes on.
+    """
+    spark, keys, folders = stream.sparkSession, list(keys), []
+    for i, cadence in enumerate(cadences):
+        folder = f"{path}/cadence-{i}"
+        if i:
+            finer = file_stream(spark, folders[-1], spark.read.parquet(folders[-1]).schema)
+            timed = finer.withColumn("_ts", F.expr("slot_end - INTERVAL 1 MICROSECOND")).withWatermark("_ts", "0 seconds")
+            slots = timed.groupBy(F.window("_ts", cadence).alias("_w"), *keys).agg(F.sum("samples").alias("samples")).select(
+                *keys, F.col("_w.start").alias("slot_start"), F.col("_w.end").alias("slot_end"), "samples"
+            )
+        else:
+            slots = minute_slots(stream, ts, keys, cadence, late)
+        run_to_folder(slots, folder, f"{path}/checkpoint-{i}")
+        folders.append(folder)
+    found = [spark.read.parquet(f).select(F.lit(c).alias("cadence"), *keys, "slot_start", "slot_end", "samples") for c, f in zip(cadences, folders)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def stream_dedup(stream: DataFrame, ts: str, keys: Sequence[str], late: str) -> DataFrame:
     """One row per key: a replay that arrives within ``late`` is dropped."""
     return stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late).dropDuplicatesWithinWatermark(
