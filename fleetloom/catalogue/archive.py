@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from fleetloom.catalogue.registry import query, table
 from fleetloom.operators import archive
 from fleetloom.operators.tables import key_range, older_than
 from fleetloom.plans.archive_run import audit_chunks, run_archive
-from fleetloom.session import work_folder
+from fleetloom.session import pin, work_folder
 
 TODAY = dt.date(1998, 1, 31)
 CUT = "TIMESTAMP '1998-01-01'"
@@ -132,6 +133,24 @@ def retirable(spark, d):
     return archive.retirable_parts(parts, "bound", TODAY)
 
 
+@query("retire_partitions", """
+SELECT strftime(o_orderdate, '%Y-%m-01') AS month, CASE WHEN date_trunc('month', o_orderdate) < TIMESTAMP '1998-01-31' - INTERVAL 2 YEAR THEN 'retired' ELSE 'kept' END AS state,
+  count(*) AS row_count, true AS has_size FROM orders GROUP BY 1, 2
+""")
+def retire(spark, d):
+    """The orders as a table by month; months over two years old are dropped and reported, the rest is read back."""
+    name = f"orders_by_month_{uuid.uuid4().hex}"
+    month = F.date_format(F.trunc(F.to_date("o_orderdate"), "month"), "yyyy-MM-dd")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_totalprice", month.alias("month"))
+    rows.hint("rebalance", F.col("month")).write.option("path", work_folder(spark, "months")).partitionBy("month").saveAsTable(name)
+    gone = archive.retire_run(spark, name, "month", dt.date(TODAY.year - 2, TODAY.month, TODAY.day), page=7)
+    # Pinned, as the table goes away with this query.
+    left = pin(archive.partition_sizes(spark.table(name), "month"))
+    spark.sql(f"DROP TABLE {name}")
+    both = gone.withColumn("state", F.lit("retired")).unionByName(left.withColumn("state", F.lit("kept")))
+    return both.select(F.col("value").alias("month"), "state", "row_count", (F.col("size_mb") > 0).alias("has_size"))
+
+
 @query("key_profile", """
 SELECT * FROM (
 SELECT 'event_id' AS column_name, 'bigint' AS column_type, count(*) AS row_count, count(DISTINCT event_id) AS distinct_values,

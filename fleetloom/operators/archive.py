@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetloom.functions.skew import number_rows
 from fleetloom.operators.tables import age_limit, older_than
+from fleetloom.session import pin
 
 
 def key_bounds(df: DataFrame, key: str) -> DataFrame:
@@ -90,23 +93,53 @@ def retirable_parts(parts: DataFrame, bound: str, threshold: dt.date) -> DataFra
     return parts.filter(F.to_date(F.try_to_timestamp(F.trim(F.col(bound).cast("string"), F.lit("'")))) < F.lit(threshold))
 
 
-def _day(value: str) -> dt.date | None:
-    """The date a partition value names; one that names none is never dropped."""
-    try:
-        return dt.date.fromisoformat(value)
-    except ValueError:
-        return None
+def _day(value: Column) -> Column:
+    """The date a partition value names; one that names none is NULL and never retired."""
+    return F.try_to_timestamp(value.cast("string"), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def retire_partitions(spark: SparkSession, table: str, column: str, threshold: dt.date) -> list[str]:
+def _old_partitions(spark: SparkSession, table: str, column: str, threshold: dt.date) -> DataFrame:
+    """(value) of the partitions below the threshold, from the catalog alone."""
+    value = F.regexp_extract("partition", f"(?:^|/){re.escape(column)}=([^/]*)", 1)
+    return spark.sql(f"SHOW PARTITIONS {table}").select(value.alias("value")).filter(_day(F.col("value")) < F.lit(threshold))
+
+
+def _drop(spark: SparkSession, table: str, column: str, values: Iterator[str], page: int) -> None:
+    """Drop partitions ``page`` at a time, one statement each: what a stopped run has dropped stays dropped."""
+    while some := list(islice(values, page)):
+        parts = ", ".join(f"PARTITION ({column} = '{v}')" for v in some)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")
+
+
+def retire_partitions(spark: SparkSession, table: str, column: str, threshold: dt.date, page: int = 1_000) -> list[str]:
     """Drop the partitions of a table below the threshold, whole; returns the dropped values.
 
     Only partition names are read, never their rows.
     """
-    names = [r[0] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()]
-    values = sorted(v for k, v in (n.split("=", 1) for n in names) if k == column)
-    old = [v for v in values if (day := _day(v)) is not None and day < threshold]
-    if old:
-        parts = ", ".join(f"PARTITION ({column} = '{v}')" for v in old)
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {parts}")
+    old = sorted(r["value"] for r in _old_partitions(spark, table, column, threshold).distinct().collect())
+    _drop(spark, table, column, iter(old), page)
     return old
+
+
+def partition_sizes(df: DataFrame, column: str) -> DataFrame:
+    """(value, files, row_count, size_mb) of every partition of ``df`` that has files.
+
+    Rows are counted and sizes added up by file; no column is read, so a scan looks at file footers only.
+    """
+    meta = df.metadataColumn("_metadata")
+    files = df.select(F.col(column).cast("string").alias("value"), meta["file_path"].alias("file"), meta["file_size"].alias("size"))
+    files = files.groupBy("value", "file").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    mb = F.round(F.sum("size") / 1024 / 1024, 4).alias("size_mb")
+    return files.groupBy("value").agg(F.count("*").alias("files"), F.sum("n").alias("row_count"), mb)
+
+
+def retire_run(spark: SparkSession, table: str, column: str, threshold: dt.date, page: int = 1_000) -> DataFrame:
+    """Drop the partitions below the threshold and report them: value, files, row_count, size_mb; an empty one has zeros.
+
+    The report is pinned before anything is dropped. Nothing to drop gives an empty report.
+    """
+    old = _old_partitions(spark, table, column, threshold).distinct()
+    sizes = partition_sizes(spark.table(table).filter(_day(F.col(column)) < F.lit(threshold)), column)
+    report = pin(old.join(sizes, "value", "left").fillna(0, ["files", "row_count", "size_mb"]))
+    _drop(spark, table, column, (r["value"] for r in report.select("value").toLocalIterator()), page)
+    return report

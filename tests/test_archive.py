@@ -79,6 +79,27 @@ def test_retire_partitions_drops_only_old_ones(spark, tmp_path):
     assert archive.retire_partitions(spark, "retire_me", "day", dt.date(2020, 2, 1)) == []
 
 
+def test_retire_run_reports_what_it_drops(spark, tmp_path, rows):
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(["2020-01-01", "2020-01-01", "2020-01-09", "2020-02-01", "other", "2020-1-3"])], "id long, day string")
+    df.repartition(3).write.option("path", str(tmp_path / "t")).partitionBy("day").saveAsTable("retire_run")
+    spark.sql("ALTER TABLE retire_run ADD PARTITION (day = '2019-12-31')")
+    report = archive.retire_run(spark, "retire_run", "day", dt.date(2020, 2, 1), page=2)
+    assert rows(report, "value", "row_count") == [("2019-12-31", 0), ("2020-01-01", 2), ("2020-01-09", 1)]
+    # What names no date in full stays, and so does the threshold itself.
+    assert rows(spark.table("retire_run"), "id") == [(3,), (4,), (5,)]
+    assert all((r["size_mb"] > 0) == (r["files"] > 0) == (r["row_count"] > 0) for r in report.collect())
+    assert archive.retire_run(spark, "retire_run", "day", dt.date(2020, 2, 1)).collect() == []
+
+
+def test_sizes_come_from_footers(spark, tmp_path):
+    df = spark.range(1000).select("id", (F.col("id") % 3).alias("part"))
+    df.write.partitionBy("part").parquet(str(tmp_path / "t"))
+    sizes = archive.partition_sizes(spark.read.parquet(str(tmp_path / "t")).filter("part > 0"), "part")
+    plan = sizes._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan and "PartitionFilters: [isnotnull(part" in plan
+    assert sorted((r["value"], r["row_count"]) for r in sizes.collect()) == [("1", 333), ("2", 333)]
+
+
 def test_retirable_parts_compares_dates_not_text(spark, rows):
     parts = spark.createDataFrame([("p1", "'2019-12-01'"), ("p2", "'2020-2-1'"), ("p3", "MAXVALUE"), ("p4", "'2020-10-01'")], "name string, bound string")
     assert rows(archive.retirable_parts(parts, "bound", dt.date(2020, 3, 1)), "name") == [("p1",), ("p2",)]
