@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from fleetloom.catalogue import registry
 from fleetloom.catalogue.registry import query, table
 from fleetloom.operators import retention, tables, upserts
 from fleetloom.plans import backup_catalogue
 from fleetloom.session import work_folder
 from fleetloom.sources import tables as sinks
+from fleetloom.sources import versioned
 
 TODAY = dt.date(2001, 8, 1)
 RULE = "0-365-730-1825"
@@ -248,6 +250,45 @@ def upsert_partial(spark, d):
     return out.withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
 
 
+def in_buckets(spark, d, rows, keys, label):
+    path = work_folder(spark, label)
+    versioned.create_versioned(rows, path, keys, 16)
+    return path
+
+
+@query("upsert_replace_buckets", registry.ORACLES["upsert_replace"])
+def upsert_replace_buckets(spark, d):
+    """The same rows from a bucketed table after one batch."""
+    old, batch = customers(spark, d)
+    path = in_buckets(spark, d, old, ["c_custkey"], "customers")
+    versioned.merge_batch(spark, path, batch, ["seq"], defaults={"c_nationkey": 0, "c_mktsegment": ""})
+    return versioned.read_version(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+
+
+@query("upsert_partial_buckets", registry.ORACLES["upsert_partial"])
+def upsert_partial_buckets(spark, d):
+    """The same rows from a bucketed table after two batches, of which each has half of the customers."""
+    old, batch = customers(spark, d)
+    path = in_buckets(spark, d, old, ["c_custkey"], "customers")
+    for half in range(2):
+        versioned.merge_batch(spark, path, batch.filter(F.col("c_custkey") % 2 == half), ["seq"], update=["c_acctbal"])
+    return versioned.read_version(spark, path).withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+
+
+@query("bounded_delete_steps", """
+WITH gone AS (SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01')
+SELECT 'left' AS what, o_orderkey AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01'
+UNION ALL SELECT 'step', CASE WHEN i < n // 20000 THEN 20000 ELSE n % 20000 END FROM (SELECT n, unnest(range(n // 20000 + (n % 20000 > 0)::BIGINT)) AS i FROM gone)
+""")
+def bounded_delete_steps(spark, d):
+    """Old orders deleted from a bucketed table in steps of 20,000: the sizes of the steps and what is left."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
+    path = in_buckets(spark, d, o, ["o_orderkey"], "orders")
+    steps = versioned.bounded_delete(spark, path, F.col("o_orderdate") < F.lit("1994-01-01").cast("timestamp_ntz"), 20_000)
+    left = versioned.read_version(spark, path).select(F.lit("left").alias("what"), F.col("o_orderkey").alias("n"))
+    return left.unionByName(spark.createDataFrame([("step", n) for _, n in steps], "what string, n long"))
+
+
 @query("load_replace", """
 SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders
 WHERE o_orderdate < TIMESTAMP '1998-01-01' OR o_orderkey % 4 = 0
