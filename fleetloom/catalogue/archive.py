@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -160,3 +161,21 @@ UNION ALL SELECT 'ts', 'timestamp_ntz', count(*), count(DISTINCT ts), count(*) -
 """)
 def key_profile(spark, d):
     return archive.key_profile(table(spark, d, "events"), ["event_id", "user_id", "ts"])
+
+
+KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+
+
+def key_sql():
+    """Every column and pair that is unique and has no part that is."""
+    single = lambda c: f"(SELECT count(*) = count(DISTINCT {c}) FROM lineitem)"
+    pair = lambda a, b: f"(SELECT count(*) = count(DISTINCT ({a}, {b})) FROM lineitem) AND NOT {single(a)} AND NOT {single(b)}"
+    rows = [f"SELECT '{c}' AS key_columns, 1 AS size WHERE {single(c)}" for c in KEY_COLUMNS]
+    return " UNION ALL ".join([*rows, *[f"SELECT '{a},{b}', 2 WHERE {pair(a, b)}" for a, b in combinations(KEY_COLUMNS, 2)]])
+
+
+@query("unique_keys", key_sql())
+def unique_keys(spark, d):
+    """Minimal keys of one or two columns of the line items."""
+    found = archive.unique_keys(table(spark, d, "lineitem"), KEY_COLUMNS, 2)
+    return spark.createDataFrame([(",".join(k), len(k)) for k in found], "key_columns string, size int")

@@ -6,7 +6,7 @@ import datetime as dt
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import islice
+from itertools import combinations, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +59,26 @@ def key_profile(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
     return out.select("column_name", "column_type", "row_count", "distinct_values", "nulls", usable.alias("usable"))
 
 
+def unique_keys(df: DataFrame, columns: Sequence[str], most: int = 3, error: float = 0.02) -> list[tuple[str, ...]]:
+    """Minimal sets of at most ``most`` of the ``columns`` that tell all rows apart; columns with NULLs take no part.
+
+    Sets are tried by size, and only where no part of them is a key. One scan estimates the different values of all sets of
+    a size; a set whose estimate is more than five of its errors below the number of rows is out, and each of the few others is decided
+    exactly, by groups that combine map-side. A table without rows has no keys.
+    """
+    counts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    n, usable = counts["n"], [c for i, c in enumerate(columns) if counts[f"c{i}"] == counts["n"]]
+    found: list[tuple[str, ...]] = []
+    for size in range(1, most + 1):
+        sets = [s for s in combinations(usable, size) if n and not any(set(k) <= set(s) for k in found)]
+        likely = []
+        for part in (sets[i : i + 100] for i in range(0, len(sets), 100)):
+            seen = df.agg(*[F.approx_count_distinct(F.xxhash64(*s), error).alias(f"s{i}") for i, s in enumerate(part)]).first()
+            likely += [s for s, d in zip(part, seen) if d >= n * (1 - 5 * error)]
+        found += [s for s in likely if df.groupBy(*s).count().filter("count > 1").isEmpty()]
+    return found
+
+
 @dataclass
 class ArchiveSplit:
     """``sided`` is the whole table with a ``side`` column; ``archived`` and ``kept`` are its two halves."""

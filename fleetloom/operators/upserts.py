@@ -22,15 +22,17 @@ def upsert_replace(target: DataFrame, batch: DataFrame, keys: Sequence[str], arr
     """Target after replacing rows by key.
 
     A replaced row is a new row: columns the batch does not supply take their default (NULL without one), never the
-    old value. Use ``upsert_partial`` to keep old values.
+    old value. Use ``upsert_partial`` to keep old values. The keys of a batch of bounded size are broadcast, and the target is
+    not shuffled.
     """
     defaults = defaults or {}
-    new = last_by_arrival(batch, keys, arrival)
+    new = pin(last_by_arrival(batch, keys, arrival))
     full = [
         F.col(f.name) if f.name in new.columns else F.lit(defaults.get(f.name)).cast(f.dataType).alias(f.name)
         for f in target.schema.fields
     ]
-    untouched = target.join(new.select(*keys), list(keys), "left_anti")
+    named = new.select(*keys)
+    untouched = target.join(F.broadcast(named) if is_small(named) else named, list(keys), "left_anti")
     return untouched.unionByName(new.select(*full))
 
 
