@@ -163,19 +163,24 @@ def key_profile(spark, d):
     return archive.key_profile(table(spark, d, "events"), ["event_id", "user_id", "ts"])
 
 
-KEY_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]
+KEY_COLUMNS = {"conversations": ["conv_id", "turn", "role"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate"]}
 
 
-def key_sql():
-    """Every column and pair that is unique and has no part that is."""
-    single = lambda c: f"(SELECT count(*) = count(DISTINCT {c}) FROM lineitem)"
-    pair = lambda a, b: f"(SELECT count(*) = count(DISTINCT ({a}, {b})) FROM lineitem) AND NOT {single(a)} AND NOT {single(b)}"
-    rows = [f"SELECT '{c}' AS key_columns, 1 AS size WHERE {single(c)}" for c in KEY_COLUMNS]
-    return " UNION ALL ".join([*rows, *[f"SELECT '{a},{b}', 2 WHERE {pair(a, b)}" for a, b in combinations(KEY_COLUMNS, 2)]])
+def key_sql(most=3):
+    """Every set of columns that is unique and has no part that is, one table after the other."""
+    parts, ctes = [], []
+    for name, columns in KEY_COLUMNS.items():
+        sets = [s for size in range(1, most + 1) for s in combinations(columns, size)]
+        flags = ", ".join(f"count(*) = count(DISTINCT ({', '.join(s)})) AS k_{'_'.join(s)}" for s in sets)
+        for s in sets:
+            smaller = "".join(f" AND NOT k_{'_'.join(x)}" for x in sets if set(x) < set(s))
+            parts.append(f"SELECT '{name}' AS table_name, '{','.join(s)}' AS key_columns, {len(s)} AS size FROM {name[0]} WHERE k_{'_'.join(s)}{smaller}")
+        ctes.append(f"{name[0]} AS MATERIALIZED (SELECT {flags} FROM {name})")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(parts)
 
 
 @query("unique_keys", key_sql())
 def unique_keys(spark, d):
-    """Minimal keys of one or two columns of the line items."""
-    found = archive.unique_keys(table(spark, d, "lineitem"), KEY_COLUMNS, 2)
-    return spark.createDataFrame([(",".join(k), len(k)) for k in found], "key_columns string, size int")
+    """Minimal keys of up to three columns of the conversations and of the line items."""
+    found = [(name, k) for name, columns in KEY_COLUMNS.items() for k in archive.unique_keys(table(spark, d, name), columns, 3)]
+    return spark.createDataFrame([(name, ",".join(k), len(k)) for name, k in found], "table_name string, key_columns string, size int")

@@ -276,15 +276,15 @@ def upsert_partial_buckets(spark, d):
 
 
 @query("bounded_delete_steps", """
-WITH gone AS (SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1994-01-01')
-SELECT 'left' AS what, o_orderkey AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01'
+WITH gone AS (SELECT count(*) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')
+SELECT 'left' AS what, o_orderkey AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'
 UNION ALL SELECT 'step', CASE WHEN i < n // 20000 THEN 20000 ELSE n % 20000 END FROM (SELECT n, unnest(range(n // 20000 + (n % 20000 > 0)::BIGINT)) AS i FROM gone)
 """)
 def bounded_delete_steps(spark, d):
     """Old orders deleted from a bucketed table in steps of 20,000: the sizes of the steps and what is left."""
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate", "o_totalprice")
     path = in_buckets(spark, d, o, ["o_orderkey"], "orders")
-    steps = versioned.bounded_delete(spark, path, F.col("o_orderdate") < F.lit("1994-01-01").cast("timestamp_ntz"), 20_000)
+    steps = versioned.bounded_delete(spark, path, F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz"), 20_000)
     left = versioned.read_version(spark, path).select(F.lit("left").alias("what"), F.col("o_orderkey").alias("n"))
     return left.unionByName(spark.createDataFrame([("step", n) for _, n in steps], "what string, n long"))
 
