@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetloom.functions.skew import lookup_join
+from fleetloom.functions.skew import BROADCAST_ROWS, is_small, lookup_join
 from fleetloom.operators.tables import breach
+from fleetloom.session import pin
 
 DEFAULT_PORT = 65536
-SCRIPT_LIST = 1_000
+HOSTS_PER_TASK = 10_000
 
 
 def tier_values(tier: DataFrame, keys: Sequence[str], value: str, state: str | None, out: str) -> DataFrame:
@@ -62,28 +62,27 @@ def resolve_config(
 
 
 def resolve_script_state(
-    hosts: DataFrame, common: DataFrame, person: DataFrame, frequency: str, *, host: str = "server_host"
+    hosts: DataFrame, common: DataFrame, person: DataFrame, frequency: str, *, host: str = "server_host", max_broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Every script of a frequency on every host, with the host's own state before the common one.
 
-    The common list is configuration: it comes to the driver ``SCRIPT_LIST`` scripts at a time and goes out as a constant, so
-    hosts are widened in place without any join. Only overrides, one row per host and script, are joined.
+    The list of scripts is measured. A small one is broadcast and hosts are widened in place; for a larger one the hosts are
+    dealt into groups of about ``HOSTS_PER_TASK``, each group gets the list, and both sides are shuffled by group. Overrides,
+    one row per host and script, are joined by both. ``max_broadcast_rows`` is the bound for either join.
     """
-    scripts = common.filter((F.col("state") == "online") & (F.col("frequency") == frequency)).select("basename", "running_state")
-    parts, now = [], []
-    for row in scripts.toLocalIterator():
-        now.append(F.struct(F.lit(row["basename"]).cast("string").alias("basename"), F.lit(row["running_state"]).cast("string").alias("running_state")))
-        if len(now) == SCRIPT_LIST:
-            parts, now = [*parts, now], []
-    kind = "array<struct<basename:string,running_state:string>>"
-    lists = [F.array(*p) for p in (parts if parts and not now else [*parts, now])]
-    wide = [hosts.select(host, F.explode(x.cast(kind)).alias("_s")).select(host, "_s.*") for x in lists]
-    all_runs = reduce(DataFrame.union, wide)
+    scripts = pin(common.filter((F.col("state") == "online") & (F.col("frequency") == frequency)).select(
+        F.col("basename").cast("string"), F.col("running_state").cast("string")
+    ))
+    small = is_small(scripts, max_broadcast_rows)
+    groups = 1 if small else 1 + hosts.count() // HOSTS_PER_TASK
+    asked = hosts.select(host, F.pmod(F.xxhash64(host), F.lit(groups)).alias("_group"))
+    lists = scripts.withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    all_runs = asked.join(F.broadcast(lists) if small else lists, "_group").drop("_group")
     own = (
         person.filter((F.col("state") == "online") & (F.col("frequency") == frequency))
         .groupBy(host, "basename").agg(F.nullif(F.max("running_state"), F.lit("")).alias("_own"))
     )
-    out = all_runs.join(own, [host, "basename"], "left")
+    out = lookup_join(all_runs, own, [host, "basename"], spread=[host, "basename"], derived=True, max_broadcast_rows=max_broadcast_rows)
     return out.select(
         host, "basename", F.coalesce("_own", "running_state").alias("running_state"),
         F.when(F.col("_own").isNotNull(), "person").otherwise("common").alias("source"),

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from fleetloom.operators import config
 from fleetloom.sources.text import scan_kv_lines
@@ -51,7 +52,8 @@ def test_two_rows_for_a_key_are_an_error(spark):
         resolve(spark, [("archive_count", "h", 1)], common=[("archive_count", "1", "online"), ("archive_count", "2", "online")])
 
 
-def test_script_state(spark, rows):
+@pytest.mark.parametrize("limit", [100_000, 0])
+def test_script_state(spark, rows, limit):
     hosts = spark.createDataFrame([("a",), ("b",)], "server_host string")
     common = spark.createDataFrame([
         ("top.sh", "1 MINUTE", "", "on", "online"), ("ps.sh", "1 MINUTE", "", "off", "online"), ("x.sh", "1 DAY", "", "on", "online"),
@@ -60,11 +62,24 @@ def test_script_state(spark, rows):
     person = spark.createDataFrame([
         ("a", "top.sh", "1 MINUTE", "off", "online"), ("b", "ps.sh", "1 MINUTE", "on", "offline"),
     ], "server_host string, basename string, frequency string, running_state string, state string")
-    assert rows(config.resolve_script_state(hosts, common, person, "1 MINUTE")) == [
+    assert rows(config.resolve_script_state(hosts, common, person, "1 MINUTE", max_broadcast_rows=limit)) == [
         ("a", "ps.sh", "off", "common"), ("a", "top.sh", "off", "person"), ("b", "ps.sh", "off", "common"), ("b", "top.sh", "on", "common"),
     ]
 
 
+def test_script_state_plan_does_not_grow(spark):
+    """As many scripts as you like make the same plan; a list beyond the bound is shuffled, the hosts over several groups."""
+    hosts = spark.range(40_000).select(F.col("id").alias("server_host"))
+    listed = lambda n: spark.range(n).select(F.concat(F.lit("s"), "id").alias("basename"), F.lit("1 MINUTE").alias("frequency"), F.lit("on").alias("running_state"), F.lit("online").alias("state"))
+    none = listed(1).filter("basename = ''").withColumn("server_host", F.lit(0).cast("long"))
+    plans = [config.resolve_script_state(hosts, listed(n), none, "1 MINUTE") for n in (2, 3000)]
+    sizes = [len(p._jdf.queryExecution().executedPlan().toString()) for p in plans]
+    assert sizes[1] < sizes[0] + 200
+    wide = config.resolve_script_state(hosts, listed(3), none, "1 MINUTE", max_broadcast_rows=2)
+    assert wide.count() == 120_000
+    assert config.resolve_script_state(hosts, listed(3).filter("basename = ''"), none, "1 MINUTE").count() == 0
+
+
 def test_config_map(spark):
     df = spark.createDataFrame([("h", "a", "1"), ("h", "b", "2"), ("g", "a", "3")], "host string, key string, value string")
     got = {r["host"]: r["conf"] for r in config.config_map(df, ["host"]).collect()}
