@@ -10,6 +10,7 @@ from fleetloom.catalogue import registry
 from fleetloom.catalogue.registry import table
 from fleetloom.catalogue.telemetry import ALARMS, hourly
 from fleetloom.session import work_folder
+from fleetloom.sources.segments import segment_lines, segment_stream
 from fleetloom.streaming import keyed, known, minutes
 
 
@@ -114,6 +115,29 @@ def stream_ingest(spark, d):
     return back.groupBy("event_type").agg(F.count("*").alias("row_count"), F.sum("event_id").alias("id_sum"))
 
 
+@query("segment_feed", """
+SELECT event_type, count(*) AS row_count, CAST(sum(event_id) AS BIGINT) AS id_sum,
+  count(*) FILTER (WHERE event_id > (SELECT max(event_id) // 3 FROM events)) AS later_count FROM events GROUP BY 1
+""")
+def segment_feed(spark, d):
+    """Events as a feed of text segments, followed over three starts of the stream, and from a stored (segment, position)."""
+    ev = table(spark, d, "events").select("event_id", "event_type")
+    third = ev.agg(F.max("event_id")).first()[0] // 3
+    feed, out, work = (work_folder(spark, x) for x in ("feed", "feed-rows", "feed-checkpoint"))
+    fields = F.from_json("value", "event_id long, event_type string").alias("e")
+    part = F.when(F.col("event_id") <= third, 0).when(F.col("event_id") <= 2 * third, 1).otherwise(2)
+    for i in range(3):
+        arrived = ev.filter(part == i).repartitionByRange("event_id").sortWithinPartitions("event_id")
+        arrived.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(f"{feed}/arrival-{i}")
+        minutes.run_batches(segment_stream(spark, feed).select(fields).select("e.*"), minutes.stream_ingest(out), work, closing=False)
+    lines = segment_lines(spark, feed).select("segment", "position", fields)
+    place = lines.filter(F.col("e.event_id") > third).sort("e.event_id", "segment", "position").first()
+    later = segment_lines(spark, feed, place["segment"], place["position"]).select(fields).groupBy("e.event_type").agg(F.count("*").alias("later_count"))
+    back = spark.read.option("basePath", out).parquet(out).groupBy("event_type").agg(F.count("*").alias("row_count"), F.sum("event_id").alias("id_sum"))
+    joined = back.join(later.withColumnRenamed("event_type", "_type"), F.col("event_type").eqNullSafe(F.col("_type")), "left")
+    return joined.select("event_type", "row_count", "id_sum", F.coalesce("later_count", F.lit(0)).alias("later_count"))
+
+
 @query("running_state", """
 SELECT user_id, event_type, epoch_us(max(ts)) // 1000000 AS last_run, arg_max(value > 10, (ts, value > 10)) AS is_done FROM events GROUP BY 1, 2
 """)
