@@ -229,13 +229,14 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
 def repeated_spans(docs: DataFrame, width: int, most_spans: int = 4096, spans_per_task: int = 20_000) -> DataFrame:
     """(t1, t2, ranges): for each text, the ranges (s, n) of starts of repeated strings. ``docs``: t1, t2, doc_id, _text."""
     found = write_out(docs.mapInArrow(lambda b: _find(b, width), _SPAN), "spans")
-    again = found.groupBy("g").agg(F.count("*").alias("_c")).filter("_c > 1").select("g")
+    # Written, so that the join isn't in the aggregate's stage: then Spark broadcasts the anchors or splits a frequent one's spans.
+    again = write_out(found.groupBy("g").agg(F.count("*").alias("_c")).filter("_c > 1").select("g"), "again")
     found_again = write_out(found.join(again, "g", "left_semi"), "spans")
-    discard(found)
+    discard(found, again)
     classes = found_again.groupBy("g", "d").agg(F.count("*").alias("c"), F.min(F.struct("t1", "t2", "doc_id", "s", "n", "off")).alias("r"))
     classes = write_out(classes.select("g", "d", "c", "r.*"), "classes")
-    counts = classes.groupBy("g").agg(F.count("*").alias("k"))
-    asked = classes.join(counts.filter("k > 1"), "g").groupBy("t1", "t2", "doc_id").agg(
+    counts = write_out(classes.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1"), "counts")
+    asked = classes.join(counts, "g").groupBy("t1", "t2", "doc_id").agg(
         F.collect_list(F.struct("s", "n", "off", "g", "d", (F.col("c") == 1).alias("single"), (F.col("k") > most_spans).alias("hot"))).alias("asked")
     )
     bodies = write_out(docs.join(asked, ["t1", "t2", "doc_id"]).select("t1", "t2", "_text", "asked").mapInArrow(lambda b: _cut(b, width), _CUT), "bodies")
