@@ -20,6 +20,7 @@ from fleetloom.llm.common import task_total, with_row_id, word_count, write_out
 PRIME_A, PRIME_B = 2305843009213693951, 1099511627791
 LIMIT = 1 << 40  # blocks in one source, at most
 ROWS_PER_BUCKET = 2048
+PART = 4096  # buckets of slot numbers in one list
 
 
 def _md5_number(text: Column, digits: int = 10) -> Column:
@@ -94,7 +95,12 @@ def draw_slots(sources: DataFrame, block_words: int = 128, shard_slots: int = 40
     shards = -(-slots // shard_slots)
     # A source owns the numbers from..to; it is found by a bucket of numbers, so any number of sources will do.
     width = 64
-    owners = rows.select("source_id", "from", "to", F.explode(F.sequence(F.expr(f"from div {width}"), F.expr(f"(to - 1) div {width}"))).alias("bucket"))
+    # Buckets are listed a part at a time, so that no row holds all of a large source's.
+    owners = (
+        rows.withColumn("first", F.expr(f"from div {width}")).withColumn("last", F.expr(f"(to - 1) div {width}"))
+        .select("source_id", "from", "to", "first", "last", F.explode(F.expr(f"sequence(first div {PART}, last div {PART})")).alias("_part"))
+        .select("source_id", "from", "to", F.explode(F.expr(f"sequence(greatest(first, _part * {PART}), least(last, _part * {PART} + {PART - 1}))")).alias("bucket"))
+    )
     drawn = (
         spark.range(shards).withColumnRenamed("id", "shard")
         .select("shard", F.explode(F.sequence(F.lit(0), F.lit(shard_slots - 1))).alias("slot"))

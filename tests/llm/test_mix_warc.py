@@ -42,6 +42,13 @@ def test_mix_meets_its_targets(awkward, plain, block_words, shard_slots):
     assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, pieces), key=repr)
 
 
+def test_lists_of_slot_numbers_are_bounded(awkward, monkeypatch):
+    whole = mixing.mix(awkward, block_words=7, shard_slots=16)[1].collect()
+    monkeypatch.setattr(mixing, "PART", 2)
+    parts = mixing.mix(awkward, block_words=7, shard_slots=16)[1].collect()
+    assert whole and sorted(map(tuple, parts), key=repr) == sorted(map(tuple, whole), key=repr)
+
+
 def test_mix_of_nothing(nothing):
     docs, slots = mixing.mix(nothing)
     assert docs.collect() == [] and slots.collect() == []
