@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 
 import numpy as np
@@ -47,6 +48,12 @@ def discard(*frames: DataFrame) -> None:
             _MADE.pop(path, None)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished jobs now: it does so once the driver has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
