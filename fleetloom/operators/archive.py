@@ -44,19 +44,17 @@ def keyset_chunks(df: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFr
 def key_profile(df: DataFrame, candidates: Sequence[str]) -> DataFrame:
     """One row per candidate column: type, rows, distinct values, NULLs, and whether it is a usable unique key.
 
-    One scan gives a row per candidate and value, which is counted by value and then by column; both steps combine
-    map-side, so no task sees more than its share of the values. Values are told apart by their JSON text.
+    One scan. Every candidate's values are grouped as what they are, not as text, and then counted; both steps combine map-side, so
+    no task sees more than its share of the values.
     """
-    values = F.array(*[F.struct(F.lit(c).alias("column_name"), F.to_json(F.struct(F.col(c).alias("v"))).alias("v"), F.col(c).isNull().alias("none")) for c in candidates])
-    per_value = df.select(F.explode(values).alias("x")).groupBy("x.column_name", "x.v", "x.none").agg(F.count("*").alias("n"))
-    found = per_value.groupBy("column_name").agg(
-        F.sum("n").alias("row_count"), F.count_if(~F.col("none")).alias("distinct_values"), F.coalesce(F.sum(F.when(F.col("none"), F.col("n"))), F.lit(0)).alias("nulls"),
+    columns = list(candidates)
+    counts = [x for i, c in enumerate(columns) for x in (F.count(c).alias(f"n{i}"), F.count_distinct(F.col(c)).alias(f"d{i}"))]
+    found = df.agg(F.count("*").alias("row_count"), *counts)
+    line = lambda i, c: F.struct(
+        F.lit(c).alias("column_name"), F.lit(df.schema[c].dataType.simpleString()).alias("column_type"), "row_count", F.col(f"d{i}").alias("distinct_values"),
+        (F.col("row_count") - F.col(f"n{i}")).alias("nulls"), (F.col("row_count") == F.col(f"d{i}")).alias("usable"),
     )
-    # A table without rows still has a line for each candidate.
-    named = df.sparkSession.createDataFrame([(c, df.schema[c].dataType.simpleString()) for c in candidates], "column_name string, column_type string")
-    out = named.join(F.broadcast(found), "column_name", "left").fillna(0, ["row_count", "distinct_values", "nulls"])
-    usable = (F.col("row_count") == F.col("distinct_values")) & (F.col("nulls") == 0)
-    return out.select("column_name", "column_type", "row_count", "distinct_values", "nulls", usable.alias("usable"))
+    return found.select(F.inline(F.array(*[line(i, c) for i, c in enumerate(columns)])))
 
 
 def unique_keys(df: DataFrame, columns: Sequence[str], most: int = 3, error: float = 0.02) -> list[tuple[str, ...]]:

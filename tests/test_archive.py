@@ -72,6 +72,13 @@ def test_key_profile(spark, rows):
         ("id", "bigint", 3, 3, 0, True), ("maybe", "int", 3, 2, 1, False), ("name", "string", 3, 2, 0, False)]
 
 
+def test_key_profile_tells_microseconds_apart(spark, rows):
+    df = spark.sql("SELECT id, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id / 1000000.0) AS at, if(id = 1, NULL, map('k', id div 2)) AS m FROM range(4)")
+    got = rows(archive.key_profile(df, ["at", "m"]), "column_name", "column_type", "row_count", "distinct_values", "nulls", "usable")
+    assert got == [("at", "timestamp_ntz", 4, 4, 0, True), ("m", "map<string,bigint>", 4, 2, 1, False)]
+    assert rows(archive.key_profile(df.limit(0), ["id"])) == [("id", "bigint", 0, 0, 0, True)]
+
+
 def test_retire_partitions_drops_only_old_ones(spark, tmp_path):
     df = spark.createDataFrame([(i, f"2020-0{m}-01") for i, m in enumerate([1, 1, 2, 3])], "id long, day string")
     df.write.option("path", str(tmp_path / "t")).partitionBy("day").saveAsTable("retire_me")
