@@ -134,6 +134,17 @@ def test_running_state_batch_costs_its_own_keys_and_repeats_nothing(spark, tmp_p
     assert set(seen(spark, cp)) - set(before) == {("t", at(101), True)} and len(seen(spark, cp)) == 40
 
 
+def test_running_state_is_kept_without_a_python_call_for_each_key(spark, tmp_path):
+    src, cp = (str(tmp_path / x) for x in ("src", "cp"))
+    s = add(spark, src, [("h", at(1), float("nan"), "b"), ("h", at(2), None, None), ("h", at(1), 3.0, "c")], "host string, ts timestamp_ntz, share double, note string")
+    stream = minutes.file_stream(spark, src, s)
+    assert "TransformWithState" not in known.last_known(stream, ["host"], "ts", ["share", "note"])._jdf.queryExecution().analyzed().toString()
+    known.run_last_known(stream, ["host"], "ts", ["share", "note"], cp)
+    (row,) = known.known_now(spark, cp).collect()
+    # NaN is a value that was given, and the largest.
+    assert str(row["share"]) == "nan" and row["note"] == "c" and row["last_us"] - row["share_us"] == row["last_us"] - row["note_us"] == 1_000_000
+
+
 def test_running_state_forgets_keys_that_stay_silent(spark, tmp_path):
     src, cp = (str(tmp_path / x) for x in ("src", "cp"))
     heartbeats(spark, src, cp, [[("h", "t", at(0), True), ("h", "u", at(90), True)], [("h", "u", at(200), False)]], forget_seconds=100)
