@@ -81,6 +81,23 @@ def test_walk_chain_of_some_thousand_hops_and_asked_paths(spark):
     assert none.filter("path IS NOT NULL").count() == 0 and none.count() == len(got)
 
 
+def test_walk_chain_too_large_to_broadcast_goes_by_marked_nodes(spark, monkeypatch):
+    n, walks = 1500, []
+    walk_table = chains._walk
+    monkeypatch.setattr(chains, "_walk", lambda table, *rest: walks.append(table.count()) or walk_table(table, *rest))
+    rows = [(i, i + 1, 0) for i in range(n)] + [(n + 1 + i, i * 7, 0) for i in range(60)] + [(5000 + i, 5000 + (i + 1) % 90, 0) for i in range(90)] + [(6000, 5003, 0), (6001, 4, 7)]
+    df = spark.createDataFrame(rows, "child long, parent long, lag int")
+    asked = spark.createDataFrame([(3,), (n + 9,), (5001,), (n,), (6001,)], "which long")
+    got = {r["node"]: (r["root"], r["depth"], r["path"], r["ended"]) for r in chains.walk_chain(df, "child", "parent", "lag", 3, 0, paths=asked).collect()}
+    up = lambda i: ">".join(map(str, range(i, n + 1)))
+    want = {i: (n, n - i, up(i) if i in (3, n) else None, "top") for i in range(n + 1)}
+    want |= {n + 1 + i: (n, n + 1 - 7 * i, f"{n + 9}>{up(56)}" if i == 8 else None, "top") for i in range(60)}
+    want |= {i: (None, None, None, "cycle") for i in [*range(5000, 5090), 6000]} | {6001: (6001, 0, "6001", "lag")}
+    assert got == want
+    # A sixteenth of the nodes goes through all rounds.
+    assert len(walks) == 2 and walks[1] < walks[0] / 8
+
+
 def test_promote_grandparent(spark, rows):
     df = spark.createDataFrame([("d", "c", 0), ("c", "b", 2), ("b", "a", 3), ("e", "d", 0)], "child string, parent string, lag int")
     for broadcast in (100_000, 0):
