@@ -15,6 +15,8 @@ from fleetloom.functions.skew import number_rows
 from fleetloom.operators.tables import age_limit, older_than
 from fleetloom.session import pin
 
+SLICES = 64
+
 
 def key_bounds(df: DataFrame, key: str) -> DataFrame:
     """First and last key and the row count in one pass; no rows give NULL bounds."""
@@ -61,8 +63,9 @@ def unique_keys(df: DataFrame, columns: Sequence[str], most: int = 3, error: flo
     """Minimal sets of at most ``most`` of the ``columns`` that tell all rows apart; columns with NULLs take no part.
 
     Sets are tried by size, and only where no part of them is a key. One scan estimates the different values of all sets of
-    a size; a set whose estimate is more than five of its errors below the number of rows is out, and each of the few others is decided
-    exactly, by groups that combine map-side. A table without rows has no keys.
+    a size; a set whose estimate is more than five of its errors below the number of rows is out. Of each other one the groups in one of
+    SLICES slices of its hash are counted: a repeat there is proof enough. Only a set without any is decided by all groups, which
+    combine map-side. A table without rows has no keys.
     """
     counts = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     n, usable = counts["n"], [c for i, c in enumerate(columns) if counts[f"c{i}"] == counts["n"]]
@@ -73,10 +76,14 @@ def unique_keys(df: DataFrame, columns: Sequence[str], most: int = 3, error: flo
         for part in (sets[i : i + 100] for i in range(0, len(sets), 100)):
             seen = df.agg(*[F.approx_count_distinct(F.xxhash64(*s), error).alias(f"s{i}") for i, s in enumerate(part)]).first()
             likely += [s for s, d in zip(part, seen) if d >= n * (1 - 5 * error)]
-        found += [s for s in likely if df.groupBy(*s).count().filter("count > 1").isEmpty()]
+        found += [s for s in likely if not _repeats(df.filter(F.pmod(F.xxhash64(*s), F.lit(SLICES)) == 0), s) and not _repeats(df, s)]
     return found
 
 
+def _repeats(df: DataFrame, columns: Sequence[str]) -> bool:
+    return not df.groupBy(*columns).count().filter("count > 1").isEmpty()
+
+
 @dataclass
 class ArchiveSplit:
     """``sided`` is the whole table with a ``side`` column; ``archived`` and ``kept`` are its two halves."""

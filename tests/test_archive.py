@@ -123,6 +123,14 @@ def test_unique_keys_are_minimal(spark):
     assert archive.unique_keys(df.limit(0), ["id"], 2) == []
 
 
+def test_unique_keys_counts_all_groups_only_where_a_slice_has_no_repeat(spark, monkeypatch):
+    calls, repeats = [], archive._repeats
+    monkeypatch.setattr(archive, "_repeats", lambda df, s: calls.append(s) or repeats(df, s))
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 20 == 0, F.col("id") + 1).otherwise(F.col("id")).alias("near"))
+    assert archive.unique_keys(df, ["id", "near"], 1) == [("id",)]
+    assert calls == [("id",), ("id",), ("near",)]
+
+
 def test_retirable_parts_compares_dates_not_text(spark, rows):
     parts = spark.createDataFrame([("p1", "'2019-12-01'"), ("p2", "'2020-2-1'"), ("p3", "MAXVALUE"), ("p4", "'2020-10-01'")], "name string, bound string")
     assert rows(archive.retirable_parts(parts, "bound", dt.date(2020, 3, 1)), "name") == [("p1",), ("p2",)]
