@@ -107,21 +107,26 @@ def bounded_delete(spark: SparkSession, path: str, where: Column, step_rows: int
     """Delete the rows that fit ``where``, at most ``step_rows`` for each version; returns (version, rows) of the steps.
 
     Every step is committed by itself, so a run that stops has deleted whole steps and the next one goes on. Steps go
-    through the buckets in order, so each rewrites a few of them and none is read again once it is clean.
+    through the buckets in order, so each reads and rewrites only the few that hold its rows: they are counted once.
     """
-    steps, first = [], 0
-    while True:
-        m = manifest(spark, path)
-        keys = m["keys"]
-        ahead = _read(spark, path, m, range(first, m["buckets"])).filter(where).select(*keys, _bucket(keys, m["buckets"]))
-        doomed = pin(ahead.orderBy(BUCKET, *keys).limit(step_rows))
-        n, touched = doomed.count(), [r[0] for r in doomed.select(BUCKET).distinct().collect()]
-        if not n:
-            return steps
+    steps, m = [], manifest(spark, path)
+    keys, bucket = m["keys"], _bucket(m["keys"], m["buckets"])
+    ahead = dict(sorted((r[0], r[1]) for r in _read(spark, path, m).filter(where).groupBy(bucket).count().collect()))  # one row per bucket
+    while ahead:
+        some, n = [], 0
+        for b, count in ahead.items():
+            some, n = [*some, b], n + count
+            if n >= step_rows:
+                break
+        doomed = pin(_read(spark, path, m, some).filter(where).select(*keys, bucket).orderBy(BUCKET, *keys).limit(step_rows))
+        counts = {r[0]: r[1] for r in doomed.groupBy(BUCKET).count().collect()}
         gone = doomed.select(*[F.col(k).alias(f"_d_{k}") for k in keys])
         same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_d_{k}")) for k in keys])
-        steps.append((_commit(_read(spark, path, m, touched).join(gone, same, "left_anti"), path, m, touched), n))
-        first = max(touched)
+        touched = sorted(counts)
+        steps.append((_commit(_read(spark, path, m, touched).join(gone, same, "left_anti"), path, m, touched), sum(counts.values())))
+        ahead = {b: left for b, c in ahead.items() if (left := c - counts.get(b, 0))}
+        m = manifest(spark, path, steps[-1][0])
+    return steps
 
 
 def forget_versions(spark: SparkSession, path: str, keep: int = 2) -> list[int]:

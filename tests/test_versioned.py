@@ -68,3 +68,14 @@ def test_delete_in_steps(spark, path):
     assert state(spark, path) == {}
     versioned.merge_batch(spark, path, batch(spark, [(1, "again", 1)]), ["at"])
     assert state(spark, path) == {1: ("again", None)}
+
+
+def test_a_delete_step_reads_only_the_buckets_of_its_rows(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "t"), []
+    versioned.create_versioned(spark.range(2000).withColumnRenamed("id", "k"), path, ["k"], 20)
+    read = versioned._read
+    monkeypatch.setattr(versioned, "_read", lambda s, p, m, buckets=None: asked.append(buckets) or read(s, p, m, buckets))
+    steps = versioned.bounded_delete(spark, path, F.col("k") % 2 == 0, 150)
+    assert [n for _, n in steps] == [150] * 6 + [100]
+    assert asked[0] is None and all(len(b) <= 6 for b in asked[1:])
+    assert versioned.read_version(spark, path).filter("k % 2 = 0").isEmpty() and versioned.read_version(spark, path).count() == 1000
