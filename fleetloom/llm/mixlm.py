@@ -8,8 +8,10 @@ A mixer weighs the predictions in the logistic domain; which weights are used is
 after each decision the weights take one gradient step. A last table refines the mixed probability. The product over all
 decisions is the model's probability of the text.
 
-Counting is a sum over all training documents: each task counts its own, and tables meet in segments. Weights start from
-values fitted on a bounded sample of training documents against the counts of all others, and go on from there in
+Counting is a sum over all training documents: each task counts its own, and tables meet in segments. The weights and the
+refinement are fitted on every training document too: of two halves each is looked up in the counts of the other, and how often
+which predictions met with which outcome is summed in a table of fixed size, from which both are solved. A bounded sample only
+says where the solution starts. In scoring the weights go on from there in
 every lane of ``LANE`` symbols, so a score depends on the text and the training documents only, never on the neighbours in
 the batch. The lanes of a batch advance together.
 
@@ -35,6 +37,7 @@ from fleetloom.session import ship_package
 END, SYMBOLS = 256, 257
 LANE = 128  # symbols that share one run of adapting weights
 CHUNK = 1 << 19  # bytes of text worked on at once
+SUM_CHUNK = 1 << 17  # the same where sums are all that is made: their arrays then stay in the processor's cache
 ORDERS = (2, 4, 6)  # predictors by so many bytes before
 HASHED = len(ORDERS) + 1  # predictors with hashed contexts: those, and the word so far; four cells fill one 64-bit number
 GATES = 16  # sets of weights: how often the six bytes' context was seen, and the word's
@@ -42,6 +45,7 @@ SEGMENT = 1 << 14  # table cells that travel in one row
 BLOCK_SHIFT = 11  # 2048 neighbouring rows make a block for token counts
 SAMPLE_BYTES, SAMPLE_SHARE, SAMPLE_LONGEST = 4 << 20, 10, 1 << 16
 RATE = 0.006
+KEEP_NEAR = 100.0  # how many decisions the start of the weights counts for
 LIMIT = 11.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -174,12 +178,12 @@ def _cells(h: np.ndarray, owner: np.ndarray, node_hash: np.ndarray, bits: int) -
     return x
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows lo..hi with their lower-cased bytes, about CHUNK bytes at a time (a longer text is one piece)."""
+def _pieces(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Rows lo..hi with their lower-cased bytes, about ``chunk`` bytes at a time (a longer text is one piece)."""
     data, offsets = bytes_of(column)
     lo, n = 0, len(offsets) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, side="right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + chunk, side="right")) - 1)
         yield lo, hi, _LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo]
         lo = hi
 
@@ -249,7 +253,7 @@ def to_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def _count_contexts(batches: Iterator[pa.RecordBatch], code, bits: int) -> Iterator[pa.RecordBatch]:
     tables = [np.zeros(2 << bits, np.uint32) for _ in range(HASHED)]
     for batch in batches:
-        for _, _, data, offsets in _pieces(batch.column("_text")):
+        for _, _, data, offsets in _pieces(batch.column("_text"), SUM_CHUNK):
             stream = to_stream(data, offsets)
             _, owner, node, bit = _decisions(stream, code.value)
             node_hash = _NODE.take(node)
@@ -327,9 +331,8 @@ class Mixer:
         # Looked up in the order of the text, side by side for each decision, then laid out.
         n = len(size)
         beside = np.empty((len(order), HASHED), np.uint16)
-        node_hash = _NODE.take(node)
-        for i in range(HASHED):
-            beside[:, i] = self.tables[i].take(_cells(stream.hashes[i], owner, node_hash, self.bits))
+        for i, found in enumerate(self.look_up(stream, owner, node)):
+            beside[:, i] = found
         beside = beside.view(np.uint64).ravel().take(order).view(np.uint16).reshape(-1, HASHED)
         x = [_ODDS.take(beside[:, i]) for i in range(HASHED)]
         gate = beside[:, -2] & np.uint16(3)
@@ -372,6 +375,21 @@ class Mixer:
             total[: active[t]] += cost[base[t] : base[t + 1]]
         return -np.bincount(lane_doc[rank], weights=total, minlength=len(lanes)) / np.log(2)
 
+    def look_up(self, stream: Stream, owner: np.ndarray, node: np.ndarray) -> Iterator[np.ndarray]:
+        """Each predictor's cells for all decisions."""
+        node_hash = _NODE.take(node)
+        for i in range(HASHED):
+            yield self.tables[i].take(_cells(stream.hashes[i], owner, node_hash, self.bits))
+
+    def outcomes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Of every decision its place in the table of outcomes: gate, predictions in steps, bit."""
+        stream = to_stream(data, offsets)
+        _, owner, node, bit = _decisions(stream, self.code)
+        at = bit.astype(np.int32)
+        for place, found in zip(_PLACE, self.look_up(stream, owner, node), strict=True):
+            at += place.take(found)
+        return at
+
     def _learn(self, x, gate, bit, base, n, mixed, rate):
         """Gated weights after online steps from ``self.weights`` in every lane: the mean over lanes."""
         w = [np.repeat(v, n) for v in self.weights.astype(np.float32).T]  # for each input: gates * lanes
@@ -392,6 +410,78 @@ class Mixer:
         return step.astype(np.uint16) + gate * np.uint16(34)
 
 
+# The table of outcomes has predictions in steps; a context never seen is a step of its own.
+_EDGES = np.array([-7, -5, -3.7, -2.7, -1.9, -1.2, -0.4, 0.4, 1.2, 1.9, 2.7, 3.7, 5, 7])
+_STEP = np.array([0, -8.5, -5.9, -4.3, -3.2, -2.25, -1.6, -0.8, 0, 0.8, 1.6, 2.25, 3.2, 4.3, 5.9, 8.5], np.float32)
+_STEPS = len(_STEP)
+OUTCOMES = GATES * _STEPS**HASHED * 2
+
+
+def _places() -> list[np.ndarray]:
+    """What each predictor's cell adds to a decision's place; the last two also say the gate."""
+    codes = np.arange(1 << 16)
+    step = np.where(codes & 3, 1 + np.searchsorted(_EDGES, _ODDS), 0)
+    out = [2 * _STEPS ** (HASHED - 1 - i) * step for i in range(HASHED)]
+    for i, gate in ((HASHED - 2, (codes & 3) << 2), (HASHED - 1, codes & 3)):
+        out[i] = out[i] + 2 * _STEPS**HASHED * gate
+    return [x.astype(np.int32) for x in out]
+
+
+_PLACE = _places()
+
+
+def _count_outcomes(batches: Iterator[pa.RecordBatch], mixer) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(OUTCOMES, np.int64)
+    for batch in batches:
+        for _, _, data, offsets in _pieces(batch.column("_text"), SUM_CHUNK):
+            np.add.at(total, mixer.value.outcomes(data, offsets), 1)
+    yield from _segments(_task_id(), 0, total)
+
+
+def solve(mixer: Mixer, outcomes: np.ndarray, rounds: int = 12) -> None:
+    """The weights of least cost over all counted decisions, by Newton's steps from those the mixer has, and its refinement.
+
+    Where a gate has few decisions it stays near what it starts from.
+    """
+    at = np.flatnonzero(outcomes.reshape(-1, 2).sum(1))
+    zeros, ones = outcomes.reshape(-1, 2)[at].astype(np.float64).T
+    gate = at // _STEPS**HASHED
+    x = np.stack([_STEP[at // _STEPS ** (HASHED - 1 - i) % _STEPS] for i in range(HASHED)], 1).astype(np.float64)
+    weights, mixed = mixer.weights.astype(np.float64), np.zeros(len(at))
+    for g in range(GATES):
+        rows = np.flatnonzero(gate == g)
+        own, n, hits, start = x[rows], (zeros + ones)[rows], ones[rows], weights[g].copy()
+
+        def cost(w):
+            dot = own @ w
+            return float((n * np.logaddexp(0, dot) - hits * dot).sum() + 0.5 * KEEP_NEAR * ((w - start) ** 2).sum())
+
+        w, now = start, cost(start)
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-(own @ w)))
+            slope = own.T @ (hits - n * p) - KEEP_NEAR * (w - start)
+            bend = (own * (n * p * (1 - p))[:, None]).T @ own + KEEP_NEAR * np.eye(HASHED)
+            step, after = np.linalg.solve(bend, slope), np.inf
+            for _ in range(20):  # a step that goes too far is halved
+                if (after := cost(w + step)) <= now:
+                    break
+                step /= 2
+            if after >= now:
+                break
+            w, now = w + step, after
+        weights[g], mixed[rows] = w, own @ w
+    mixer.weights = weights.astype(np.float32)
+    cell = mixer._cell(gate.astype(np.uint16), mixed.clip(-LIMIT, LIMIT).astype(np.float32))
+    _refine(mixer, np.bincount(cell, zeros + ones, mixer.refine.size), np.bincount(cell, ones, mixer.refine.size))
+
+
+def _refine(mixer: Mixer, n: np.ndarray, ones: np.ndarray) -> None:
+    """Add to the refinement ``n`` decisions by (gate, step), of which ``ones`` were 1."""
+    start = 1 / (1 + np.exp(-mixer.refine.ravel().astype(np.float64)))
+    p = (ones + 20 * start) / (n + 20)
+    mixer.refine = np.log(p / (1 - p)).clip(-LIMIT, LIMIT).astype(np.float32).reshape(mixer.refine.shape)
+
+
 def _fresh_mixer(code, tables, bits) -> Mixer:
     steps = (np.arange(34, dtype=np.float32) / 1.5 - LIMIT).clip(-LIMIT, LIMIT)
     return Mixer(code, tables, bits, np.full((GATES, HASHED), 0.3, np.float32), np.broadcast_to(steps, (GATES, 34)).astype(np.float32).copy())
@@ -409,10 +499,7 @@ def tune(mixer: Mixer, texts: pa.Array, rounds: int = 3) -> None:
     for d, o in pieces:
         _, a, b = mixer.score(d, o, True)
         n, ones = n + a, ones + b
-    steps = mixer.refine.ravel().astype(np.float64)
-    start = 1 / (1 + np.exp(-steps))
-    p = (ones + 20 * start) / (n + 20)
-    mixer.refine = np.log(p / (1 - p)).clip(-LIMIT, LIMIT).astype(np.float32).reshape(mixer.refine.shape)
+    _refine(mixer, n, ones)
 
 
 # ---- tokens
@@ -496,17 +583,20 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", f
     code = build_code(pairs.reshape(256, SYMBOLS))
     sent_code = spark.sparkContext.broadcast(code)
 
-    share = max(SAMPLE_SHARE, size // SAMPLE_BYTES)
-    sampled = (F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "rid"), F.lit(share)) == 0) & (F.octet_length("_text") <= SAMPLE_LONGEST)
+    half = F.pmod(F.xxhash64(F.lit("half"), "doc_id", "rid"), F.lit(2))
+    share = max(SAMPLE_SHARE, size // SAMPLE_BYTES) // 2
+    sampled = (half == 1) & (F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "rid"), F.lit(share)) == 0) & (F.octet_length("_text") <= SAMPLE_LONGEST)
     # The sample is written by all tasks at once; what is read in one task below is about SAMPLE_BYTES at any size.
     sample = write_out(train.filter(sampled).select("_text"), "sample")
+    halves = [train.filter(half == k).select("_text") for k in (0, 1)]
 
     def counted(texts):
-        return texts.mapInArrow(lambda b: _count_contexts(b, sent_code, bits), _SEGMENT).groupBy("sub", "name", "at").applyInArrow(_sum_segments, _SEGMENT)
+        counts = texts.mapInArrow(lambda b: _count_contexts(b, sent_code, bits), _SEGMENT)
+        return write_out(counts.groupBy("sub", "name", "at").applyInArrow(_sum_segments, _SEGMENT), "counts")
 
     # Weights are fitted on texts that the tables don't know yet; the scores use tables of all training documents.
-    others, own_counts = write_out(counted(train.filter(~sampled).select("_text")), "counts"), write_out(counted(sample), "counts")
-    mixer = _fresh_mixer(code, _tables(others, bits), bits)
+    counts = [counted(texts) for texts in halves]
+    mixer = _fresh_mixer(code, _tables(counts[0], bits), bits)
     sent = spark.sparkContext.broadcast(mixer)
 
     def fit(batches):
@@ -517,13 +607,26 @@ def score_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", f
         yield pa.RecordBatch.from_pydict({"weights": [own.weights.tobytes()], "refine": [own.refine.tobytes()]})
 
     fitted = sample.coalesce(1).mapInArrow(fit, "weights binary, refine binary").first()
+
+    def outcomes_of(texts, sent):
+        total = np.zeros(OUTCOMES, np.int64)
+        for r in _summed(texts.mapInArrow(lambda b: _count_outcomes(b, sent), _SEGMENT)).toLocalIterator():  # OUTCOMES cells at most
+            total[r["at"] : r["at"] + r["n"]] = _open(r["body"], r["n"])
+        return total
+
+    outcomes = outcomes_of(halves[1], sent)
+    sent.unpersist(True)
+    mixer.tables = _tables(counts[1], bits)
+    sent = spark.sparkContext.broadcast(mixer)
+    outcomes += outcomes_of(halves[0], sent)
     sent.unpersist(True)
     if fitted:
         mixer.weights = np.frombuffer(fitted["weights"], np.float32).reshape(mixer.weights.shape)
         mixer.refine = np.frombuffer(fitted["refine"], np.float32).reshape(mixer.refine.shape)
-    mixer.tables = _tables(others.union(own_counts), bits)
+    solve(mixer, outcomes)
+    mixer.tables = _tables(counts[0].union(counts[1]), bits)
     sent = spark.sparkContext.broadcast(mixer)
-    discard(sample, others, own_counts)
+    discard(sample, *counts)
 
     asked = rows.select("rid", "held_out", "_text").mapInArrow(_ask, "block long, token long, n long")
     by_token = Window.partitionBy("token")

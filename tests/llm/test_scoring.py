@@ -172,3 +172,32 @@ def test_sample_is_written_before_one_task_reads_it(awkward, monkeypatch):
     monkeypatch.setattr(mixlm, "write_out", lambda df, label: made.setdefault(label, write_out(df, label)))
     mixlm.score_documents(awkward)
     assert made["sample"].columns == ["_text"]
+
+
+def test_weights_are_fitted_on_every_training_document(spark, monkeypatch):
+    """Every decision of every training document is in the table that weights and refinement are solved from, long texts included."""
+    rng = np.random.default_rng(7)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 8, n)) for n in [300] * 30 + [2 * mixlm.SAMPLE_LONGEST]] + [None, ""]
+    seen, solve = [], mixlm.solve
+    monkeypatch.setattr(mixlm, "solve", lambda mixer, outcomes: seen.append((mixer.code, outcomes.sum())) or solve(mixer, outcomes))
+    found = mixlm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    (code, decisions), want = seen[0], 0
+    for r in found:
+        if not r.held_out:
+            raw = (texts[r.doc_id] or "").encode()
+            want += code.length[np.frombuffer(b"\n" + raw, np.uint8), np.append(np.frombuffer(raw, np.uint8), mixlm.END)].sum()
+    assert len(texts[30]) > mixlm.SAMPLE_LONGEST and decisions == want
+
+
+def test_solved_weights_cost_least():
+    rng = np.random.default_rng(8)
+    code = mixlm.build_code(np.zeros((256, mixlm.SYMBOLS), np.int64))
+    mixer = mixlm._fresh_mixer(code, [], 16)
+    steps = rng.integers(0, 16, (200_000, mixlm.HASHED))
+    want = np.array([0.1, 0.5, 0.2, 0.4])
+    bit = rng.random(len(steps)) < 1 / (1 + np.exp(-(mixlm._STEP[steps] @ want)))
+    at = 5
+    for s in steps.T:
+        at = at * 16 + s
+    mixlm.solve(mixer, np.bincount(2 * at + bit, minlength=mixlm.OUTCOMES))
+    assert np.abs(mixer.weights[5] - want).max() < 0.03 and np.abs(mixer.weights[4] - 0.3).max() < 1e-6
